@@ -22,12 +22,12 @@ def lookup_join(
     ``total`` the number of all rows. Fewer than ``slots`` keys can hold more than
     ``total / slots`` rows each, so the hot part of ``table`` has a proven size bound
     and is broadcast; all other keys are small and meet in a shuffled join. Null keys
-    match null keys.
+    match null keys; ``weight`` is not in the result.
     """
-    table = table.withColumnRenamed(key, "__key")
-    hot = F.col(weight) * F.lit(slots) > total
+    table = table.withColumnRenamed(key, "__key").withColumnRenamed(weight, "__n")
+    hot = F.col("__n") * F.lit(slots) > total
     match = F.col(key).eqNullSafe(F.col("__key"))
     hot_table = F.broadcast(table.where(hot))
-    spread = rows.join(hot_table, match, "inner").drop("__key")
+    spread = rows.join(hot_table, match, "inner").drop("__key", "__n")
     rest = rows.join(F.broadcast(table.where(hot).select("__key")), match, "left_anti")
-    return spread.unionByName(rest.join(table.where(~hot), match, "left").drop("__key"))
+    return spread.unionByName(rest.join(table.where(~hot), match, "left").drop("__key", "__n"))
