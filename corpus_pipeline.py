@@ -1,14 +1,74 @@
-"""A corpus pipeline over the document operators."""
+"""A corpus pipeline over the document operators.
+
+Each stage works on all rows that the one before it kept and reads only doc_id, text
+and source; the other columns of a document are carried along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from pointloom.llm import bpe, line_dedup, mixing, quality_rules, simhash
+from pointloom.llm.vocab import vocabulary_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _join_rows(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
+    """Joins by doc_id, a null id meeting null ids."""
+    table = verdicts.withColumnRenamed("doc_id", "__id")
+    return docs.join(table, F.col("doc_id").eqNullSafe(F.col("__id")), how)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject."""
+    return quality_rules.filter_documents(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of the texts; n_chars follows. A text that loses every line stays, empty."""
+    done = line_dedup.dedup_lines(docs, extra=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return done.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the group's smallest doc_id.
+
+    Of rows that share that id one stays. Rows without an id are in no group and all stay.
+    """
+    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = _join_rows(docs.select(*COLUMNS), first, "left_semi")
+    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "n_chars")
+    one = kept.withColumn("__nth", F.row_number().over(same_id)).where("__nth = 1").select(*COLUMNS)
+    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, which may be never."""
+    return mixing.repeat_documents(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, with the digests of the ids and of the text decoded from them."""
+    return bpe.encode_documents(docs.select(*COLUMNS), vocabulary_path(bpe.VOCABULARY))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("simhash near-dedup", near_duplicates),
+    ("source mix", mixture),
+    ("bpe", tokens),
+]
 
-STAGES: list = []
+#: SQL has neither zstandard nor XXH64.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

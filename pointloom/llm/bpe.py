@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pointloom.llm.common import map_arrow, texts
@@ -96,6 +97,30 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return map_arrow(texts(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
 
 
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Per row its id, source, language, ids (binary) and their number, with the digests that ``digests`` gives."""
+
+    def make():
+        c = codec(path)
+
+        def step(batch: pa.RecordBatch) -> dict:
+            ids = [c.encode(t) for t in batch.column(1).to_pylist()]
+            return {
+                "doc_id": batch.column(0),
+                "lang": batch.column(2),
+                "source": batch.column(3),
+                "n_tokens": [len(i) // 4 for i in ids],
+                "ids": ids,
+                "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+                "decoded_sha256": [hashlib.sha256(c.decode(i).encode()).hexdigest() for i in ids],
+            }
+
+        return step
+
+    schema = "doc_id long, lang string, source string, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(texts(docs, "lang", "source"), schema, make)
+
+
 def _released(items: list) -> Iterator[str]:
     """The items in order, each let go once it is used."""
     items.reverse()

@@ -14,9 +14,10 @@ from pointloom.plans.lineage import cut
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-#: Size of the sketch of frequent hashes; a hash with over 1 % of 1 % of the lines is not missed.
-SKETCH_ITEMS = 100_000
-HOT_KEYS = 1000
+#: Frequent hashes are sought in so many groups, with a sketch of so many items each, which
+#: cannot miss one that holds over a 2000th of all lines.
+SKETCH_GROUPS, SKETCH_ITEMS, SKETCH_TOP = 64, 256, 64
+HOT_SHARE = 2000
 
 
 def _lines(text: Column) -> Column:
@@ -36,14 +37,15 @@ def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _hot(lines: DataFrame) -> DataFrame:
-    """The most frequent h1, at most HOT_KEYS of them, from a mergeable sketch of all lines.
+    """The h1 of over a HOT_SHARE-th of all lines, from mergeable sketches of all lines.
 
-    Which keys are listed decides only how they are processed, not the result.
+    Which keys are listed, a few thousand at most, decides only how they are processed,
+    not the result. Tasks send sketches of a fixed size, to as many tasks as groups.
     """
-    top = F.expr(f"approx_top_k(h1, {HOT_KEYS}, {SKETCH_ITEMS})")
-    share = F.col("hot.count") * 20 * HOT_KEYS > F.col("n")
-    found = lines.agg(top.alias("top"), F.count("*").alias("n")).select("n", F.explode("top").alias("hot"))
-    return found.where(share & F.col("hot.item").isNotNull()).select(F.col("hot.item").alias("h1"))
+    top = F.expr(f"approx_top_k(h1, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top")
+    sketches = lines.groupBy(F.pmod("h1", F.lit(SKETCH_GROUPS)).alias("g")).agg(top)
+    found = sketches.select(F.explode("top").alias("hot")).where(F.col("hot.item").isNotNull())
+    return found.where(F.col("hot.count") * HOT_SHARE > lines.count()).select(F.col("hot.item").alias("h1"))
 
 
 def _dropped_light(lines: DataFrame, min_documents: int) -> DataFrame:
@@ -52,19 +54,21 @@ def _dropped_light(lines: DataFrame, min_documents: int) -> DataFrame:
     In a key's stream the documents come from the largest id down, so the lines of its
     first document are the ones to keep.
     """
-    stream = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").desc_nulls_last(), "pos")
-    whole = Window.partitionBy("h1", "h2")
-    ranked = lines.repartitionByRange("h1", "h2").withColumn("nth", F.dense_rank().over(stream))
-    ranked = ranked.withColumn("n_docs", F.max("nth").over(whole))
+    largest_first = F.col("doc_id").desc_nulls_last()
+    dealt = lines.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", largest_first, "pos")
+    key = Window.partitionBy("h1", "h2")
+    ranked = dealt.withColumn("nth", F.dense_rank().over(key.orderBy(largest_first))).withColumn("n_docs", F.max("nth").over(key))
     return ranked.where((F.col("nth") > 1) & (F.col("n_docs") >= min_documents)).select("doc_id", "t", "pos")
 
 
 def _dropped_hot(lines: DataFrame, min_documents: int) -> DataFrame:
-    """Drops under hot keys: counted per key and document before per key, then looked up by broadcast."""
+    """Drops under hot keys: counted per key and document before per key, then looked up by broadcast.
+
+    There are as many keys as listed hashes, and more only if long lines share 64 bits.
+    """
     per_document = lines.select("h1", "h2", "doc_id").distinct()
     keys = per_document.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
     keys = keys.where(F.col("n_docs") >= min_documents).select("h1", "h2", "last")
-    # A hot h1 may hold several keys, but each h1 is on the list, so this has no more rows than keys share hot hashes.
     met = lines.join(F.broadcast(keys), ["h1", "h2"])
     return met.where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "t", "pos")
 

@@ -16,8 +16,8 @@ SEED = "mix"
 _UNIT = 1 << 52
 
 
-def _sized(docs: DataFrame, weight: Column) -> DataFrame:
-    """(rid, doc_id, source, size, weight, u): words in the text and a random number from the id, in (0, 1)."""
+def _sized(docs: DataFrame, weight: Column, key: Column) -> DataFrame:
+    """(rid, doc_id, source, key, size, weight, u): words in the text and a random number from the id, in (0, 1)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     number = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
@@ -25,6 +25,7 @@ def _sized(docs: DataFrame, weight: Column) -> DataFrame:
         F.monotonically_increasing_id().alias("rid"),
         "doc_id",
         "source",
+        key.alias("key"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         weight.cast("double").alias("weight"),
         ((number + F.lit(0.5)) / F.lit(float(_UNIT))).alias("u"),
@@ -61,8 +62,9 @@ def mix(
     most: int = MOST_COPIES,
     weight: Column | None = None,
     bins: int = BINS,
+    key: Column | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+    """One row per input row: doc_id, source, key, size, source_size, target, copies, taken.
 
     Each document first gets its certain whole copies, the whole part of its expected
     number. The rest of its source's target goes to a Pareto order sample: documents
@@ -76,8 +78,9 @@ def mix(
     ``doc_id`` has a random number of its own. Repeated rows are told apart, equal
     ranks are decided by id and size. Sources of size 0 have target 0, an empty table
     gives an empty result. The random numbers depend on doc_id alone, so reruns agree.
+    ``key`` is any column to be carried along.
     """
-    rows = cut(_sized(docs, weight if weight is not None else F.lit(1.0)))
+    rows = cut(_sized(docs, F.lit(1.0) if weight is None else weight, F.lit(0) if key is None else key))
     total = rows.count()
     mass = F.sum(F.col("size") * F.col("weight"))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), mass.alias("mass"), F.count("*").alias("n_rows"))
@@ -91,7 +94,7 @@ def mix(
     done = sampled.join(_completing(sampled, total, most), F.col("rid") == F.col("last_rid"), "left")
     extra = F.when(F.col("more") | F.col("last_rid").isNotNull(), 1).otherwise(0)
     copies = (F.col("base") + extra).cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select("doc_id", "source", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _ranked(rows: DataFrame, most: int, bins: int) -> DataFrame:
@@ -135,6 +138,24 @@ def _completing(sampled: DataFrame, total: int, most: int) -> DataFrame:
     return near.groupBy("source").agg(best).select(F.col("best.rid").alias("last_rid"))
 
 
+def repeat_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """Each row of ``docs``, with all its columns, as often as ``mix`` takes it.
+
+    Rows equal in doc_id and text share their copies out evenly among them.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = [F.col(c) for c in docs.columns]
+    counts = mix(docs, weights, most, key=F.xxhash64(text)).groupBy("doc_id", "key").agg(F.sum("copies").alias("c"), F.count("*").alias("n"))
+    counts = counts.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("c").alias("__c"), F.col("n").alias("__n")).where("__c > 0")
+    met = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")))
+    nth = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__c"))
+    single = F.when(F.col("__n") == 1, F.col("__c"))
+    alone = met.where("__n = 1").withColumn("__times", single)
+    shared = met.where("__n > 1").withColumn("__times", F.floor(F.col("__c") / F.col("__n")) + F.when(nth <= F.col("__c") % F.col("__n"), 1).otherwise(0))
+    rows = alone.unionByName(shared.withColumn("__times", F.col("__times").cast("long")))
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(*own)
+
+
 def op4(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

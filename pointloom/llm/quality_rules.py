@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
@@ -107,6 +108,15 @@ def statistics(data: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def _judged(rules: CompressionBands, text: str) -> tuple:
+    """The statistics, base_failed, kept and the ratios of one text."""
+    data = text.encode()
+    stats = statistics(data)
+    failed = stats[0] < MIN_WORDS or 100 * stats[4] > MAX_REPEATED_PERCENT * stats[0]
+    whole, least, greatest, within = rules.judge(data)
+    return *stats, failed, within and not failed, whole, least, greatest
+
+
 _SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, ratio double, least_chunk_ratio double, greatest_chunk_ratio double"
@@ -127,15 +137,8 @@ def judge(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = C
     def make():
         rules = CompressionBands(bands, chunk_bytes, level)
 
-        def one(text: str) -> tuple:
-            data = text.encode()
-            stats = statistics(data)
-            failed = stats[0] < MIN_WORDS or 100 * stats[4] > MAX_REPEATED_PERCENT * stats[0]
-            whole, least, greatest, within = rules.judge(data)
-            return *stats, failed, within and not failed, whole, least, greatest
-
         def step(batch: pa.RecordBatch) -> dict:
-            rows = [one(t) for t in batch.column(1).to_pylist()]
+            rows = [_judged(rules, t) for t in batch.column(1).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [()] * (len(names) - 1)
             return {"doc_id": batch.column(0)} | dict(zip(names[1:], columns, strict=True))
 
@@ -144,5 +147,18 @@ def judge(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = C
     return map_arrow(texts(docs), _SCHEMA, make)
 
 
+def filter_documents(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = CompressionBands(bands, chunk_bytes, level)
+        for batch in batches:
+            verdicts = [_judged(rules, t or "")[6] for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(verdicts, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9(docs: DataFrame) -> DataFrame:
     return judge(docs)
