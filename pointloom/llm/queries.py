@@ -31,8 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_quality_fm": quality_fm.op2,
-        "op3_maxent_lm": _over_documents(maxent_lm.op3),
         "op4_source_mix": mixing.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,

@@ -19,8 +19,10 @@ from pointloom.plans.lineage import cut
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 3, 1
 #: The models are fitted on at most so many labelled rows, those with the least hash of their id.
 SAMPLE_ROWS = 8192
-#: Of all hashed words and word beginnings, so many are features: those that tell the labels apart best.
+#: Of all hashed words and word beginnings, at most so many are features: those that tell the labels
+#: apart best, if by so many standard errors.
 FEATURES = 4096
+LEAST_ERRORS = 3.5
 HASHES = 1 << 20
 FOLDS = 3
 CACHE_WORDS = 200_000
@@ -148,7 +150,7 @@ def _select(read: DataFrame, n_features: int) -> dict[int, int]:
         return {}
     sums = read.select("found", "toxic").mapInArrow(counted, "hash int, n long, hits long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     spread = F.abs(F.col("hits") - F.col("n") * total) / F.sqrt(F.col("n") * total * (1 - total) + 1)
-    best = sums.where("n >= 2").orderBy(spread.desc(), "hash").limit(n_features).select("hash")
+    best = sums.where(spread >= LEAST_ERRORS).orderBy(spread.desc(), "hash").limit(n_features).select("hash")
     return {h: i for i, h in enumerate(sorted(r.hash for r in best.collect()))}
 
 
