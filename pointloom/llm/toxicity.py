@@ -23,7 +23,9 @@ SAMPLE_ROWS = 8192
 #: apart best, if by so many standard errors.
 FEATURES = 4096
 LEAST_ERRORS = 3.5
-HASHES = 1 << 20
+HASHES = 1 << 21
+#: Lengths of the word beginnings that are features.
+BEGINNINGS = range(3, 10)
 FOLDS = 3
 CACHE_WORDS = 200_000
 
@@ -35,36 +37,44 @@ _EDGES = ".,!?;:*#$%&|\"'()[]<>-_"
 
 
 def features_of(word: str) -> tuple[int, ...]:
-    """Hashes of a word and of its first 4 and 5 letters, which catch its inflected forms."""
+    """Hashes of a word and of its beginnings, which catch inflected and compound forms."""
     from xxhash import xxh32_intdigest
 
     bare = word.strip(_EDGES)
     if not bare:
         return ()
-    keys = ["w" + bare] + [f"{k}{bare[:k]}" for k in (4, 5) if len(bare) > k]
+    keys = ["w" + bare] + [f"{k}{bare[:k]}" for k in BEGINNINGS if len(bare) > k]
     return tuple(xxh32_intdigest(key, 11) % HASHES for key in keys)
 
 
 class Reader:
-    """The distinct features of a text: which of ``columns`` (hash -> column; all hashes if None) it has."""
+    """The distinct features of a text: which of ``columns`` (hash -> column; all hashes if None) it has.
+
+    A beginning that several distinct words share is a second feature, with the hash moved by HASHES.
+    """
 
     def __init__(self, columns: dict[int, int] | None = None):
         self.columns = columns
+        self.single: set[int] | None = None if columns is None else {h % HASHES for h in columns}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _word(self, word: str) -> tuple[int, ...]:
         got = features_of(word)
-        if self.columns is not None:
-            got = tuple(self.columns[h] for h in got if h in self.columns)
+        if self.single is not None:
+            got = tuple(h for h in got if h in self.single)
         if len(self.cache) < CACHE_WORDS and len(word) <= 40:
             self.cache[word] = got
         return got
 
     def of(self, text: str) -> np.ndarray:
-        cache, found = self.cache, set()
-        for word in set(text.lower().split()):
+        cache, once, again = self.cache, set(), set()
+        for word in {w.strip(_EDGES) for w in set(text.lower().split())}:
             got = cache.get(word)
-            found.update(self._word(word) if got is None else got)
+            for h in self._word(word) if got is None else got:
+                (again if h in once else once).add(h)
+        found = once.union(h + HASHES for h in again)
+        if self.columns is not None:
+            found = {self.columns[h] for h in found if h in self.columns}
         return np.array(sorted(found), dtype=np.int32)
 
 
