@@ -29,7 +29,7 @@ HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 23
 #: Token hashes are dealt out by their first bits into a number of ranges that follows the input.
-LEAST_RANGES, MOST_RANGES = 16, 65_536
+RANGES_PER_SPLIT, LEAST_RANGES, MOST_RANGES = 4, 16, 65_536
 
 CLASSES = 32
 PER_CLASS = 32
@@ -370,8 +370,8 @@ def _scored(blocks: DataFrame, counted: DataFrame, model: Model, n: np.ndarray,
 
 def _range_bits(docs: DataFrame) -> int:
     """The number of ranges follows the number of input splits, so that a range's share of the hashes stays level."""
-    splits = docs.rdd.getNumPartitions()
-    return min(max(splits, LEAST_RANGES), MOST_RANGES).bit_length()
+    ranges = RANGES_PER_SPLIT * docs.rdd.getNumPartitions()
+    return (min(max(ranges, LEAST_RANGES), MOST_RANGES) - 1).bit_length()
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
