@@ -232,7 +232,7 @@ def taubin(mesh: Mesh, steps: int, lam: float = 0.5, mu: float = -0.53) -> Mesh:
         sums = met.groupBy("object", F.col("a").alias("vid")).agg(F.sum(weight).alias("__w"), *(F.sum(weight * F.col(f"b{c}")).alias(f"__s{c}") for c in G.XYZ))
         moved = spots.join(sums, ["object", "vid"], "left")
         spots = moved.select("object", "vid", *(F.coalesce(F.col(c) + F.lit(factor) * (F.col(f"__s{c}") / F.col("__w") - F.col(c)), F.col(c)).alias(c) for c in G.XYZ))
-        spots = cut(spots) if k % 4 == 3 or k == 2 * steps - 1 else spots
+        spots = cut(spots) if k % 2 else spots
     return Mesh(mesh.vertices.drop(*G.XYZ).join(spots, ["object", "vid"]), mesh.triangles)
 
 

@@ -27,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
 
     Everything downstream reads the files, so a lost executor costs a re-read and
     columns such as ``monotonically_increasing_id()`` keep the values written.
+
+    A checkpoint keeps the size estimated for its plan. Joins multiply estimates, so over
+    the rounds of an iteration they would gain digits without bound; the frame returned
+    has the default estimate instead, and adaptive execution goes by the real sizes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    plain = spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False)
+    return DataFrame(plain, spark)
