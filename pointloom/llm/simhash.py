@@ -71,7 +71,7 @@ def _signed(mask: int) -> int:
 
 def _segment(fp: Column, no: int, segments: int) -> Column:
     width = BITS // segments
-    return F.shiftrightunsigned(fp, no * width).bitwiseAND(F.lit((1 << width) - 1))
+    return F.shiftrightunsigned(fp, no * width).bitwiseAND(F.lit(_signed((1 << width) - 1)).cast("long"))
 
 
 def _radii(max_distance: int, segments: int) -> list[int]:
@@ -106,7 +106,7 @@ def _links(nodes: DataFrame, max_distance: int, segments: int, crowded: int) ->
 
     def ball(i: int) -> Column:
         value = _segment(fp, i, segments)
-        masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, radii[i])))
+        masks = F.array(*(F.lit(_signed(m)).cast("long") for m in _masks(width, radii[i])))
         near = F.filter(masks, lambda m: (m == 0) | (value.bitwiseAND(m.bitwiseAND(-m)) == 0))
         return F.transform(near, lambda m: F.struct(F.lit(i).alias("seg"), value.bitwiseXOR(m).alias("key"), (m == 0).alias("same")))
 
