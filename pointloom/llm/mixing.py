@@ -10,8 +10,9 @@ from pointloom.plans.skew import lookup_join
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Ranks are first cut into this many bins a source, so that only one bin of each is put in order.
-BINS = 65_536
+#: Ranks are cut into so many bins a source, and the bin in which the sample ends into as many again, so
+#: that little of a source is put in order in one task and the sums over its bins are few.
+BINS = 256
 SEED = "mix"
 _UNIT = 1 << 52
 
@@ -87,10 +88,14 @@ def mix(
     ranked = cut(_ranked(lookup_join(rows, cut(_targets(per_source, weights, most)), "source", "n_rows", total), most, bins))
     placed = cut(lookup_join(ranked, cut(_ends(ranked, bins)), "source", "n_rows", total))
     outside = placed.where(F.col("bin") != F.col("end_bin")).withColumn("more", F.col("bin") < F.col("end_bin"))
+    last_bin = cut(placed.where(F.col("bin") == F.col("end_bin")))
+    last = lookup_join(last_bin.drop("before"), cut(_sub_ends(last_bin)), "source", "n_rows", last_bin.count())
+    aside = last.where(F.col("sub") != F.col("end_sub")).withColumn("more", F.col("sub") < F.col("end_sub"))
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    within = placed.where(F.col("bin") == F.col("end_bin")).withColumn("sum", F.col("before") + F.sum("size").over(order))
-    within = within.withColumn("more", F.col("sum") <= F.col("rest")).drop("sum")
-    sampled = cut(outside.unionByName(within).drop("before", "end_bin"))
+    within = last.where(F.col("sub") == F.col("end_sub")).withColumn("sum", F.col("before") + F.sum("size").over(order))
+    within = within.withColumn("more", F.col("sum") <= F.col("rest"))
+    kept = ["rid", "doc_id", "source", "key", "size", "source_size", "target", "base", "rank", "rest", "more"]
+    sampled = cut(outside.select(kept).unionByName(aside.select(kept)).unionByName(within.select(kept)))
     done = sampled.join(_completing(sampled, total, most), F.col("rid") == F.col("last_rid"), "left")
     extra = F.when(F.col("more") | F.col("last_rid").isNotNull(), 1).otherwise(0)
     copies = (F.col("base") + extra).cast("long")
@@ -98,15 +103,16 @@ def mix(
 
 
 def _ranked(rows: DataFrame, most: int, bins: int) -> DataFrame:
-    """Adds the certain copies ``base``, the Pareto ``rank`` of the rest and its ``bin``."""
+    """Adds the certain copies ``base``, the Pareto ``rank`` of the rest and the ``bin`` and ``sub``-bin it falls into."""
     expected = F.when(F.col("mass") > 0, F.col("target") * F.col("weight") / F.col("mass")).otherwise(F.lit(0.0))
     rows = rows.withColumn("expected", F.least(expected, F.lit(float(most))))
     rows = rows.withColumn("base", F.floor("expected")).withColumn("part", F.col("expected") - F.col("base"))
     odds = F.col("u") / (1 - F.col("u"))
     rank = F.when(F.col("part") > 0, odds / (F.col("part") / (1 - F.col("part"))))
     # rank / (1 + rank) puts the ranks into (0, 1) in the same order; what has no part to sample ranks last.
-    place = F.floor(F.coalesce(rank / (1 + rank), F.lit(1.0)) * bins)
-    rows = rows.withColumn("rank", F.coalesce(rank, F.lit(float("inf")))).withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
+    fine = F.least(F.floor(F.coalesce(rank / (1 + rank), F.lit(1.0)) * (bins * bins)), F.lit(bins * bins - 1))
+    rows = rows.withColumn("rank", F.coalesce(rank, F.lit(float("inf")))).withColumn("fine", fine)
+    rows = rows.withColumn("bin", F.floor(F.col("fine") / bins).cast("int")).withColumn("sub", (F.col("fine") % bins).cast("int")).drop("fine")
     return rows.drop("u", "weight", "mass", "expected", "part")
 
 
@@ -127,6 +133,18 @@ def _ends(ranked: DataFrame, bins: int) -> DataFrame:
     return ends.select("source", "n_rows", "rest", F.coalesce("end.bin", none).alias("end_bin"), F.coalesce("end.before", F.lit(0)).alias("before"))
 
 
+def _sub_ends(last_bin: DataFrame) -> DataFrame:
+    """(source, n_rows, end_sub, before): the same within the bins in which the samples end."""
+    filled = last_bin.groupBy("source", "sub").agg(
+        F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("from"), F.count("*").alias("n")
+    )
+    running = Window.partitionBy("source").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    filled = filled.withColumn("before", F.col("from") + F.coalesce(F.sum("words").over(running), F.lit(0)))
+    here = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))
+    ends = filled.groupBy("source").agg(F.sum("n").alias("n_rows"), F.min(F.when(here, F.struct("sub", "before"))).alias("end"))
+    return ends.select("source", "n_rows", F.col("end.sub").alias("end_sub"), F.col("end.before").alias("before"))
+
+
 def _completing(sampled: DataFrame, total: int, most: int) -> DataFrame:
     """(last_rid): for each source the document that comes nearest to the words still missing, if any does."""
     got = F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))
