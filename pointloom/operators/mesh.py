@@ -150,6 +150,14 @@ def remove_vertices(mesh: Mesh, gone: DataFrame) -> Mesh:
     return Mesh(vertices, triangles)
 
 
+def crop_mesh(mesh: Mesh, low: Sequence[float], high: Sequence[float], margin: float = 0.0) -> Mesh:
+    """The vertices within a box widened by ``margin``, borders included, and the triangles that have all theirs there."""
+    from pointloom.operators.transform import crop
+
+    inside = crop(mesh.vertices, low, high, margin).select("object", "vid")
+    return remove_vertices(mesh, cut(mesh.vertices.select("object", "vid").join(inside, ["object", "vid"], "left_anti")))
+
+
 def remove_far_vertices(mesh: Mesh, source: DataFrame, distance: float) -> Mesh:
     """Drops vertices further than ``distance`` from every source point."""
     far = near_distance(mesh.vertices, source, distance).where("distance is null").select("object", "vid")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pointloom.functions import geometry as G
-from pointloom.operators.mesh import Mesh, bad_triangles, clean, remove_far_vertices, remove_low_density, remove_small_components, remove_triangles, taubin
+from pointloom.operators.mesh import Mesh, bad_triangles, clean, crop_mesh, remove_far_vertices, remove_low_density, remove_small_components, remove_triangles, taubin, vertex_normals
 from pointloom.operators.neighbours import _at_places, _places, near_places, transfer_colours
 from pointloom.plans.lineage import cut
 from pointloom.plans.params import Reconstruct
@@ -182,17 +182,26 @@ def decimate(mesh: Mesh, target: int) -> Mesh:
 
 
 def reconstruct(points: DataFrame, p: Reconstruct, solver: Callable[[DataFrame, int, float], Mesh]) -> Mesh:
-    """Points with normals to a coloured mesh. ``solver`` (points, depth, scale) gives a mesh with vertex ``density``.
+    """An object's points to a coloured mesh with normals. ``solver`` (points, depth, scale) gives a mesh with vertex ``density``.
 
-    Low-density and far vertices go, the mesh is cleaned, for smoothed meshes also bad
-    triangles and small components, then it is decimated, smoothed and coloured.
+    Low-density vertices go, then what lies outside the points' box or far from every
+    point; the mesh is cleaned, for smoothed meshes also of bad triangles and small
+    components, then it is decimated, smoothed and coloured. An object of fewer than
+    ``min_points`` points has no mesh: the result has no rows.
     """
-    with_normals = orient_normals(estimate_normals(points, p.normal_radius, p.normal_neighbours), min(30 if p.taubin_steps is None else 50, p.normal_neighbours))
+    ends = points.agg(F.count("*").alias("n"), *(f(c) for f in (F.min, F.max) for c in G.XYZ)).first()
+    enough = points.where(F.lit(ends.n >= p.min_points))
+    with_normals = orient_normals(estimate_normals(enough, p.normal_radius, p.normal_neighbours), p.orient_neighbours)
     mesh = remove_low_density(solver(with_normals, p.depth, p.scale), p.density_quantile)
+    if ends.n < p.min_points:
+        mesh = Mesh(mesh.vertices.limit(0), mesh.triangles.limit(0))
+    else:
+        mesh = crop_mesh(mesh, ends[1:4], ends[4:7], p.crop_margin)
     mesh = clean(remove_far_vertices(mesh, points, p.vertex_distance))
     if p.max_edge is not None:
         mesh = remove_triangles(mesh, cut(bad_triangles(mesh, points, p.centre_distance, p.max_edge, centre_only=True)))
         mesh = remove_small_components(mesh, p.component)
     mesh = decimate(mesh, p.triangles)
     mesh = taubin(mesh, p.taubin_steps) if p.taubin_steps else mesh
-    return Mesh(transfer_colours(mesh.vertices, points), mesh.triangles)
+    mesh = Mesh(transfer_colours(mesh.vertices, points, (0.6, 0.6, 0.6)), mesh.triangles)
+    return Mesh(vertex_normals(mesh), mesh.triangles)

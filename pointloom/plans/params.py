@@ -110,6 +110,9 @@ class Reconstruct:
     centre_distance: float | None = None
     component: int | None = None
     taubin_steps: int | None = None
+    orient_neighbours: int = 30
+    min_points: int = 150
+    crop_margin: float = 0.0
 
 
 SMALL_BOXES = BoxFilter(120, 0.06, 0.015, 0.20, 15.0, 0.12)
@@ -119,7 +122,7 @@ DETECT_V2 = Detect(DbscanAuto(0.055, 25, 0.45, 0.85, 6, 0.025, True), SMALL_BOXE
 DETECT_FINAL = Detect(DbscanAuto(0.04, 30, 0.65, 0.85, 4, 0.03), BOXES)
 DETECT_MERGED = replace(DETECT_FINAL, merge=Merge())
 MESH = Reconstruct(0.08, 50, 8, 1.02, 0.08, 0.03)
-MESH_SMOOTH = Reconstruct(0.12, 100, 7, 1.01, 0.15, 0.025, max_edge=0.06, centre_distance=0.025, component=100, taubin_steps=50)
+MESH_SMOOTH = Reconstruct(0.12, 100, 7, 1.01, 0.15, 0.025, max_edge=0.06, centre_distance=0.025, component=100, taubin_steps=50, orient_neighbours=50)
 STRUCTURE = Structure()
 STRUCTURE_V1 = replace(STRUCTURE, outlier_points=150)
 REFINE = Refine()

@@ -1,5 +1,7 @@
 """Properties of the spatial operators against numpy and brute force."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -238,8 +240,12 @@ def test_refining_and_reconstruction(spark):
     got = mesh.vertices.toPandas()
     assert mesh.triangles.count() == 242 and len(got) == 144 and (got.g == 0.4).all() and np.allclose(np.abs(got.nz), 1, atol=0.2)
     solver = lambda points, depth, scale: M.Mesh(vertices.withColumn("density", F.lit(1.0)), triangles)
-    made = surface.reconstruct(source.withColumn("object", F.lit("o")), params.MESH, solver)
-    assert made.triangles.count() == 242
+    few = replace(params.MESH, min_points=100, crop_margin=0.01)
+    made = surface.reconstruct(source.withColumn("object", F.lit("o")), few, solver)
+    assert made.triangles.count() == 242 and {round(r.b, 6) for r in made.vertices.collect()} == {0.6}
+    assert surface.reconstruct(source.withColumn("object", F.lit("o")), params.MESH, solver).triangles.count() == 0
+    cropped = M.crop_mesh(M.Mesh(vertices, triangles), (0, 0, 0), (0.1, 0.3, 0.1), 0.005)
+    assert cropped.vertices.count() == 72 and cropped.triangles.count() == 110
     assert M.combine([mesh, M.Mesh(mesh.vertices.withColumn("object", F.lit("p")), mesh.triangles.withColumn("object", F.lit("p")))]).vertices.count() == 144
 
 
