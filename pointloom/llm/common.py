@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 #: The characters that separate words: `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACE.encode()
+SLICE_ROWS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,8 +33,15 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE_ROWS rows, so that few of a batch's texts are Python strings at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """Map each Arrow batch to columns named as in ``schema``.
+    """Map Arrow batches, SLICE_ROWS rows at a time, to columns named as in ``schema``.
 
     ``make`` runs once a task and returns the function of a batch, which returns a
     dict of equally long lists or arrays; its state so lives no longer than the task.
@@ -45,7 +53,7 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
         arrow = to_arrow_schema(out)
         step = make()
-        for batch in batches:
+        for batch in sliced(batches):
             columns = step(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pointloom.llm.common import SPACE_BYTES, map_arrow, texts
+from pointloom.llm.common import SPACE_BYTES, map_arrow, sliced, texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 8
@@ -153,7 +153,7 @@ def filter_documents(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = CompressionBands(bands, chunk_bytes, level)
-        for batch in batches:
+        for batch in sliced(batches):
             verdicts = [_judged(rules, t or "")[6] for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 
