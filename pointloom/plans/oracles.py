@@ -368,7 +368,7 @@ def _colours() -> dict[str, str]:
     scaled = ", ".join(f"CASE WHEN label % 2 = 0 THEN {c} ELSE {c} * 255 END AS {c}" for c in RGB)
     to_byte = ", ".join(f"trunc(least(greatest(CASE WHEN most <= 1 THEN {c} * 255 ELSE {c} END, 0), 255))::INT AS {c}" for c in RGB)
     grey = ", ".join(f"round(coalesce(k.{c}, 0.2), 6) AS {c}" for c in RGB)
-    painted = ", ".join(f"round(CASE WHEN label < 5 THEN {v} END, 6) AS {c}" for c, v in zip(RGB, (1.0, 0.0, 0.0), strict=True))
+    painted = ", ".join(f"round(CASE WHEN label < 5 THEN {d(v)} END, 6) AS {c}" for c, v in zip(RGB, (1.0, 0.0, 0.0), strict=True))
     stats = ", ".join(f"round(min({c}), 6) AS min{c}, round(max({c}), 6) AS max{c}, round(avg({c}), 6) AS mean{c}" for c in XYZ)
     return {
         "color_labels": sql(f"k(label, r, g, b) AS (VALUES {table})", f"SELECT p.point_id, {grey} FROM pts p LEFT JOIN k ON k.label = p.label AND p.label <> 9"),
@@ -408,7 +408,7 @@ def _meshes() -> dict[str, str]:
     empty = lambda r: f"empty_ AS (SELECT DISTINCT object, tid FROM smp s WHERE NOT EXISTS (SELECT 1 FROM pts p WHERE {d2('s', 'p')} <= {d(r * r)}))"
     edges = "eg AS (SELECT object, tid, unnest([[least(v0, v1), greatest(v0, v1)], [least(v1, v2), greatest(v1, v2)], [least(v2, v0), greatest(v2, v0)]]) AS e FROM wt)"
     links = "lk AS (SELECT DISTINCT a.object * 1000000 + a.tid AS u, b.object * 1000000 + b.tid AS v FROM eg a JOIN eg b ON a.object = b.object AND a.e = b.e)"
-    comps = f"{edges}, {links}, {closure('cc', 'lk')}, cs AS (SELECT node // 1000000 AS object, node % 1000000 AS tid, component % 1000000 AS component FROM cc)"
+    comps = f"{edges}, {links}, {closure('cc', 'lk')}, cs AS (SELECT (node // 1000000)::INT AS object, node % 1000000 AS tid, component % 1000000 AS component FROM cc)"
     sizes = "sz AS (SELECT object, component, count(*) AS n FROM cs GROUP BY 1, 2)"
     pair = "pr AS (SELECT DISTINCT object, e[1] AS a, e[2] AS b FROM eg UNION SELECT DISTINCT object, e[2], e[1] FROM eg)"
 
