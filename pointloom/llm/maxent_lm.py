@@ -11,6 +11,7 @@ a number for each block and distinct token.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections import defaultdict
@@ -295,10 +296,18 @@ _PART_ROWS = 512
 
 
 def _train_round(blocks: DataFrame, model: Model, turn: int, rounds: int) -> Model:
-    """One pass over the training texts of ``turn``; tasks send the changes of a model of fixed size."""
+    """One pass over the training texts of ``turn``; tasks send the changes of a model of fixed size.
+
+    They are summed in two steps, first within groups of as many tasks as there are groups.
+    """
     shared = blocks.sparkSession.sparkContext.broadcast(model)
+    groups = math.isqrt(blocks.rdd.getNumPartitions()) + 1
+
+    names = ["part", "group", "change"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         learner = Learner(shared.value)
         for batch in batches:
             for payload in batch.column(0).to_pylist():
@@ -308,20 +317,23 @@ def _train_round(blocks: DataFrame, model: Model, turn: int, rounds: int) -> Mod
                     learner.learn(examples(block.hashes[block.ids], block.lengths))
         if learner.seen[0].any():
             scaled = np.rint(learner.change() / _UNIT).astype("<i8")
+            group = TaskContext.get().partitionId() % groups
             for i in range(0, ROWS, _PART_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([scaled[i : i + _PART_ROWS].tobytes()])], names=["part", "change"])
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([group]), pa.array([scaled[i : i + _PART_ROWS].tobytes()])], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for part, change in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, group, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = np.frombuffer(change, "<i8")
-                sums[part] = sums[part] + values if part in sums else values
-        for part, values in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([values.tobytes()])], names=["part", "change"])
-
-    changes = blocks.select("payload").mapInArrow(run, "part long, change binary")
-    summed = changes.repartition(ROWS // _PART_ROWS, "part").mapInArrow(add, "part long, change binary")
+                sums[part, group] = sums[part, group] + values if (part, group) in sums else values
+        for (part, group), values in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([group]), pa.array([values.tobytes()])], names=names)
+
+    schema, parts = "part long, group long, change binary", ROWS // _PART_ROWS
+    changes = blocks.select("payload").mapInArrow(run, schema)
+    grouped = changes.repartition(parts * groups, "part", "group").mapInArrow(add, schema)
+    summed = grouped.withColumn("group", F.lit(0).cast("long")).repartition(parts, "part").mapInArrow(add, schema)
     whole = np.zeros((ROWS, CLASSES + PER_CLASS + 2))
     for r in summed.collect():  # at most ROWS rows of fixed width
         whole[r.part : r.part + _PART_ROWS] += np.frombuffer(r.change, "<i8").reshape(-1, whole.shape[1]) * _UNIT
