@@ -1,8 +1,8 @@
 """Line dedup with DataFrame functions only.
 
 Hashes of the lines are range-partitioned and sorted by hash, document and position;
-the keepers come first in each hash's stream. What goes back to a document is a
-run-length-compressed bitmap of the lines that it keeps, not text.
+the keepers come first in each hash's stream. What goes back to a document is the
+bitmap of the lines that it keeps, compressed to the runs of its zeros, not text.
 """
 
 from __future__ import annotations
@@ -74,10 +74,11 @@ def _dropped_hot(lines: DataFrame, min_documents: int) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(doc_id, t, dropped) of the documents that lose lines.
+    """(doc_id, t, dropped, n_dropped): the keep bitmaps of the documents that lose lines.
 
-    ``dropped`` is the bitmap of lost lines as sorted runs (start, n), and ``n_dropped``
-    their number. A hash with very many lines is never gathered in one task.
+    ``dropped`` is the bitmap as the sorted runs (start, n) of its zeros, ``n_dropped``
+    their sum; all other lines are kept. A hash with very many lines is never gathered
+    in one task.
     """
     lines = cut(_hashed_lines(docs, min_chars))
     hot = cut(_hot(lines))
