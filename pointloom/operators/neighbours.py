@@ -90,7 +90,9 @@ def nearest(points: DataFrame, target: DataFrame, values: Sequence[str] = (), ke
 
     Rings are searched outwards: a place is done once its nearest candidate lies within
     the radius of its ring, the rest goes on with twice the radius. The first radius
-    follows from the target's density. Null everywhere if the target is empty.
+    follows from the target's density. A place so meets, in its last ring, the targets
+    within a few times its distance; only places far from all targets meet many. Null
+    everywhere if the target is empty.
     """
     spots = cut(points.select(*(F.col(c).alias(f"l{c}") for c in G.XYZ)).dropna().distinct())
     best = F.min(F.struct(key, *values)).alias("__v")
