@@ -184,7 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, n_feature
 
         return step
 
-    read = cut(map_arrow(texts(docs).join(sample, "doc_id").select("doc_id", "text", "toxic"), "doc_id long, toxic int, kinds binary, found binary", make))
+    read = map_arrow(texts(docs).join(sample, "doc_id").select("doc_id", "text", "toxic"), "doc_id long, toxic int, kinds binary, found binary", make)
+    # One row an id, however often the table repeats it, so that no more than ``rows`` rows come to the driver.
+    read = cut(read.groupBy("doc_id").agg(F.min(F.struct("found", "kinds", "toxic")).alias("r")).select("doc_id", "r.*"))
     columns = _select(read, n_features)
     places = read.sparkSession.sparkContext.broadcast(columns)
 
@@ -198,14 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, n_feature
         return step
 
     got = map_arrow(read.select("doc_id", "kinds", "found"), "doc_id long, kinds binary, found binary", chosen).collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.found))[: 2 * rows]
+    got = sorted(got, key=lambda r: r.doc_id)
     found = [np.frombuffer(r.found, np.int32) for r in got]
     kinds = np.array([list(r.kinds) for r in got]).reshape(-1, len(CATEGORIES))
     return fit(found, kinds, np.arange(len(got)) % FOLDS, columns)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """One row per input row: doc_id, held_out, p_insult, p_contempt, score (of toxic), toxic (score >= 0.5).
+    """One row per input row: doc_id, held_out, p_insult, p_contempt, score (of toxic), toxic (score >= 0.5), predicted (the same as 0 or 1).
 
     A null or empty text has no features and gets the chain's base rates. Null ids and
     repeated rows are scored like any other row; an empty table gives no rows.
@@ -218,13 +220,13 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
         def step(b: pa.RecordBatch) -> dict:
             p = np.array([c.predict(reader.of(t)) for t in b.column(2).to_pylist()]).reshape(-1, len(CATEGORIES))
-            return {"doc_id": b.column(0), "held_out": b.column(1), "p_insult": p[:, 0], "p_contempt": p[:, 1], "score": p[:, 2], "toxic": p[:, 2] >= 0.5}
+            return {"doc_id": b.column(0), "held_out": b.column(1), "p_insult": p[:, 0], "p_contempt": p[:, 1], "score": p[:, 2], "toxic": p[:, 2] >= 0.5, "predicted": (p[:, 2] >= 0.5).astype(np.int32)}
 
         return step
 
     held_out = crc_mod(F.col("doc_id"), HELD_OUT_MODULUS) == HELD_OUT_REMAINDER
     rows = texts(docs).select("doc_id", held_out, "text")
-    return map_arrow(rows, "doc_id long, held_out boolean, p_insult double, p_contempt double, score double, toxic boolean", make)
+    return map_arrow(rows, "doc_id long, held_out boolean, p_insult double, p_contempt double, score double, toxic boolean, predicted int", make)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
