@@ -7,6 +7,7 @@ tokenizer package; it is never copied.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -81,20 +82,26 @@ def whole_tokens(path: str) -> dict[bytes, int]:
 class BacktrackingEncoder:
     """Exact BPE of a piece in linear time.
 
-    An Aho-Corasick automaton over the whole tokens gives every token that starts at
-    each position. The encoder takes the longest one, goes on to the next shorter one
-    if it may not follow its left neighbour, and steps back over the neighbour if
-    none may; a position from which no ending was found is never tried again. Two
-    tokens may be neighbours if plain BPE of their joined bytes gives back just the
-    two; this pair-compatibility table is filled as pairs are met. A sequence of
-    tokens that are compatible pairwise is the one that plain BPE makes.
+    An Aho-Corasick automaton over the whole tokens gives the longest token at each
+    position; the shorter ones there are its beginnings that are tokens, each of which
+    knows the next. The encoder takes the longest one, goes on to the next shorter one
+    if it may not follow its left neighbour, and steps back over the neighbour if none
+    may; a position from which no ending was found is never tried again. Two tokens may
+    be neighbours if plain BPE of their joined bytes gives back just the two; this
+    pair-compatibility table is filled as pairs are met. A sequence of tokens that are
+    compatible pairwise is the one that plain BPE makes. Memory is a few bytes a byte.
     """
 
     def __init__(self, path: str):
         self.v = load(path)
         self.automaton = ahocorasick.Automaton()
-        for token, i in whole_tokens(path).items():
+        whole = whole_tokens(path)
+        top = max(whole.values()) + 1
+        self.size, self.shorter = [0] * top, [-1] * top
+        for token, i in whole.items():
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.size[i] = len(token)
+            self.shorter[i] = next((whole[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in whole), -1)
         self.automaton.make_automaton()
         self.made = {i: pair for pair, (_, i) in self.v.merges.items()}
         self.rank = {i: r for r, i in self.v.merges.values()}
@@ -105,7 +112,7 @@ class BacktrackingEncoder:
         known = self.pairs.get((left, right))
         if known is None:
             known = self._boundary_survives(left, right)
-            if len(self.pairs) < 4 * CACHE_PIECES:
+            if len(self.pairs) < CACHE_PIECES:
                 self.pairs[left, right] = known
         return known
 
@@ -131,32 +138,30 @@ class BacktrackingEncoder:
 
     def encode(self, piece: bytes) -> list[int]:
         n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - token[1] + 1].append(token)  # by end, so shorter tokens come first
+        longest = array("i", bytes(4 * (n + 1)))
+        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - size + 1] = token  # by end, so the longest comes last
+        longest[n] = -1
+        pairs, sizes, shorter = self.pairs, self.size, self.shorter
         tokens: list[int] = []
-        begins: list[int] = []
-        choice: list[int] = []
         dead = bytearray(n + 1)
-        at, k = 0, len(starts[0]) - 1 if n else -1
+        at, last, token = 0, -1, longest[0]
         while at < n:
-            options = starts[at]
-            last = tokens[-1] if tokens else -1
-            while k >= 0:
-                token, size = options[k]
-                if not dead[at + size] and (last < 0 or self.compatible(last, token)):
-                    break
-                k -= 1
-            if k >= 0:
+            while token >= 0:
+                if not dead[at + sizes[token]]:
+                    fits = last < 0 or pairs.get((last, token))
+                    if fits or (fits is None and self.compatible(last, token)):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 tokens.append(token)
-                begins.append(at)
-                choice.append(k)
-                at += size
-                k = len(starts[at]) - 1 if at < n else -1
+                at += sizes[token]
+                last, token = token, longest[at]
             else:
                 dead[at] = 1
-                tokens.pop()
-                at, k = begins.pop(), choice.pop() - 1
+                back = tokens.pop()
+                at -= sizes[back]
+                last, token = tokens[-1] if tokens else -1, shorter[back]
         return tokens
 
 
