@@ -182,7 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
     sample = F.broadcast(_sample(labels, rows))  # at most ``rows`` rows of two numbers
     chosen = _inputs(docs).join(sample, "doc_id").select("doc_id", "text", "n_chars", F.col("label").cast("int"))
     made = map_arrow(chosen, "doc_id long, label int, ids binary, values binary, shape binary", make)
-    got = sorted(made.collect(), key=lambda r: (r.doc_id, r.ids, r.values, r.shape))[: 2 * rows]
+    # One row an id, however often the table repeats it, so that no more than ``rows`` rows come to the driver.
+    once = made.groupBy("doc_id").agg(F.min(F.struct("ids", "values", "shape", "label")).alias("r")).select("doc_id", "r.*")
+    got = sorted(once.collect(), key=lambda r: r.doc_id)
     parts = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r["values"], np.float32), np.frombuffer(r.shape, np.float64)) for r in got]
     return fit(parts, np.array([r.label for r in got], dtype=float))
 
