@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from pointloom.functions import geometry as G
+from pointloom.plans.scalars import one_row
 
 
 def match_rate(distances: DataFrame, radii: Sequence[float], column: str = "distance") -> DataFrame:
@@ -24,8 +25,8 @@ def bounds(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def below_quantile(values: DataFrame, share: float, column: str = "density") -> DataFrame:
     """Adds ``low``: whether the value is below the exact quantile of all values."""
-    edge = values.agg(F.percentile(column, F.lit(share)).alias("__q"))
-    return values.crossJoin(F.broadcast(edge)).withColumn("low", F.col(column) < F.col("__q")).drop("__q")
+    edge = one_row(values.agg(F.percentile(column, F.lit(share)).alias("q")))["q"]
+    return values.withColumn("low", F.col(column) < edge)
 
 
 def kept_and_removed(flagged: DataFrame, keep: str, by: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointloom.functions import geometry as G
+from pointloom.plans.scalars import one_row
 
 GREY = 0.6
 PALETTE_SEED = 0
@@ -80,12 +81,12 @@ def colour_labels(points: DataFrame, label: str = "label", noise: float = 0.2, a
         table = palette([max(int(v), 0) for v in distinct])
         return pd.DataFrame(table[codes], columns=list(G.RGB))
 
-    any_label = points.agg(F.max(F.col(label) >= 0).alias("__any"))
-    grey = F.when(F.coalesce(F.col("__any"), F.lit(False)), F.lit(noise)).otherwise(F.lit(all_noise))
-    joined = points.crossJoin(F.broadcast(any_label)).withColumn("__c", colour(F.col(label)))
+    any_label = one_row(points.agg(F.max(F.col(label) >= 0).alias("any")))["any"]
+    grey = F.when(F.coalesce(any_label, F.lit(False)), F.lit(noise)).otherwise(F.lit(all_noise))
+    joined = points.withColumn("__grey", grey).withColumn("__c", colour(F.col(label)))
     named = F.col(label) >= 0
-    out = _replaced(joined, G.RGB, [F.when(named, F.col(f"__c.{c}")).otherwise(grey) for c in G.RGB])
-    return out.drop("__any", "__c")
+    out = _replaced(joined, G.RGB, [F.when(named, F.col(f"__c.{c}")).otherwise(F.col("__grey")) for c in G.RGB])
+    return out.drop("__grey", "__c")
 
 
 def quantise_colours(points: DataFrame, levels: int) -> DataFrame:
@@ -101,7 +102,7 @@ def byte_colours(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if by:
         joined = points.join(points.groupBy(*by).agg(most), list(by), "left")
     else:
-        joined = points.crossJoin(F.broadcast(points.agg(most)))
+        joined = points.withColumn("__most", one_row(points.agg(most))["__most"])
     out = _replaced(joined, G.RGB, [G.byte_channel(F.col(c), F.col("__most") <= 1.0) for c in G.RGB])
     return out.select(*points.columns)
 
@@ -132,13 +133,18 @@ def difference(points: DataFrame, kept: DataFrame, key: str = "point_id") -> Dat
     return select_by_id(points, kept, invert=True, key=key)
 
 
+def _brought(points: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Aggregates of each group, or of all points, beside the points."""
+    return points.join(table, keys) if keys else points.withColumn("__row", one_row(table)).select("*", "__row.*").drop("__row")
+
+
 def normalise(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Centres each group on its mean and scales it to a largest norm of 1 (left alone up to 1e-8)."""
     keys = list(by)
     means = points.groupBy(*keys).agg(*(F.avg(c).alias(f"__m{c}") for c in G.XYZ))
-    joined = points.join(means, keys) if keys else points.crossJoin(F.broadcast(means))
+    joined = _brought(points, means, keys)
     centred = _replaced(joined, G.XYZ, [F.col(c) - F.col(f"__m{c}") for c in G.XYZ]).select(*points.columns)
     reach = centred.groupBy(*keys).agg(F.max(G.norm(G.columns(G.XYZ))).alias("__reach"))
-    joined = centred.join(reach, keys) if keys else centred.crossJoin(F.broadcast(reach))
+    joined = _brought(centred, reach, keys)
     scale = F.when(F.col("__reach") > 1e-8, F.col("__reach")).otherwise(F.lit(1.0))
     return _replaced(joined, G.XYZ, [F.col(c) / scale for c in G.XYZ]).select(*points.columns)

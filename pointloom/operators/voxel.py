@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pointloom.functions import geometry as G
 from pointloom.operators.transform import quantise_colours, with_colours
 from pointloom.plans.numbering import number_rows
+from pointloom.plans.scalars import one_row
 
 CELL = ("ix", "iy", "iz")
 
@@ -34,7 +35,10 @@ def origins(points: DataFrame, size: float, by: Sequence[str] = ()) -> DataFrame
 def with_cells(points: DataFrame, size: float, by: Sequence[str] = ()) -> DataFrame:
     """Adds the origin and the cell of each point; a group's cells start at its own origin."""
     table = origins(points, size, by)
-    joined = points.join(table, list(by)) if by else points.crossJoin(F.broadcast(table))
+    if by:
+        joined = points.join(table, list(by))
+    else:
+        joined = points.withColumn("__o", one_row(table)).select("*", "__o.*").drop("__o")
     return joined.withColumns({i: G.cell(F.col(c), F.col(f"o{c}"), size) for i, c in zip(CELL, G.XYZ, strict=True)})
 
 

@@ -15,6 +15,7 @@ from pointloom.operators import boxes as B, cluster as C, detect as D, labels as
 from pointloom.operators.graph import connected_components
 from pointloom.plans.lineage import cut
 from pointloom.plans.numbering import number_rows
+from pointloom.plans.scalars import one_row
 from pointloom.plans.params import BoxFilter, DbscanAuto, Detect, Merge, Split, Structure
 
 #: Parameters of the queries, fitted to the extent of the table's cloud (about 0.9 in each direction).
@@ -376,7 +377,8 @@ def combine_meshes(points: DataFrame) -> DataFrame:
     mesh = _mesh(points)
     parts = [M.Mesh(*(t.where(c) for t in (_rounded(mesh.vertices, *G.XYZ), mesh.triangles))) for c in ("object < 5", "object >= 5")]
     both = M.combine(parts)
-    return both.triangles.agg(F.count("*").alias("triangles")).crossJoin(F.broadcast(both.vertices.agg(F.count("*").alias("vertices"))))
+    vertices = one_row(both.vertices.agg(F.count("*").alias("n")))["n"]
+    return both.triangles.agg(F.count("*").alias("triangles")).withColumn("vertices", vertices)
 
 
 def decimate_mesh(points: DataFrame) -> DataFrame:
