@@ -41,6 +41,8 @@ ROWS = 4096
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.15
+#: A row of weights seen n times takes n / (n + SHRINK) of its mean change, so that rare contexts say little.
+SHRINK = 200
 
 #: No word contains white space, so this stands for the end of a text only.
 END = b"\n"
@@ -337,7 +339,7 @@ def _train_round(blocks: DataFrame, model: Model, turn: int, rounds: int) -> Mod
     whole = np.zeros((ROWS, CLASSES + PER_CLASS + 2))
     for r in summed.collect():  # at most ROWS rows of fixed width
         whole[r.part : r.part + _PART_ROWS] += np.frombuffer(r.change, "<i8").reshape(-1, whole.shape[1]) * _UNIT
-    mean = lambda change, n: (change / np.maximum(n, 1)[:, None]).astype(np.float32)
+    mean = lambda change, n: (change / (n + SHRINK)[:, None]).astype(np.float32)
     class_rows = model.class_rows + mean(whole[:, :CLASSES], whole[:, CLASSES])
     place_rows = model.place_rows + mean(whole[:, CLASSES + 1 : -1], whole[:, -1])
     return Model(model.class_bias, model.place_bias, class_rows, place_rows)
