@@ -6,20 +6,14 @@ and source; the other columns of a document are carried along.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointloom.llm import bpe, line_dedup, mixing, quality_rules, simhash
+from pointloom.llm import bpe, line_dedup, mixing, quality_rules, shingle_join
 from pointloom.llm.vocab import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _join_rows(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
-    """Joins by doc_id, a null id meeting null ids."""
-    table = verdicts.withColumnRenamed("doc_id", "__id")
-    return docs.join(table, F.col("doc_id").eqNullSafe(F.col("__id")), how)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
     return quality_rules.filter_documents(docs.select(*COLUMNS)).select(*COLUMNS)
@@ -33,16 +27,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the group's smallest doc_id.
+    """One document of each group stays: the one with the group's smallest doc_id, of repeated ids the first row.
 
-    Of rows that share that id one stays. Rows without an id are in no group and all stay.
+    Texts are linked from a similarity of 0.8 of their five-word shingles. Rows without
+    an id are in no group and all stay.
     """
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = _join_rows(docs.select(*COLUMNS), first, "left_semi")
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "n_chars")
-    one = kept.withColumn("__nth", F.row_number().over(same_id)).where("__nth = 1").select(*COLUMNS)
-    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    known = docs.select(*COLUMNS).where("doc_id is not null")
+    return shingle_join.distinct_rows(known).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
