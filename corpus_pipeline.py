@@ -27,13 +27,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the group's smallest doc_id, of repeated ids the first row.
+    """One row of each group stays: the one with the smallest doc_id, a null one last, of repeated ids the first.
 
-    Texts are linked from a similarity of 0.8 of their five-word shingles. Rows without
-    an id are in no group and all stay.
+    Texts are linked from a similarity of 0.8 of their five-word shingles.
     """
-    known = docs.select(*COLUMNS).where("doc_id is not null")
-    return shingle_join.distinct_rows(known).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    return shingle_join.distinct_rows(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

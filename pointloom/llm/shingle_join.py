@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pointloom.llm.common import LOWER, UPPER, map_arrow, sliced, texts
 from pointloom.operators.graph import connected_components
-from pointloom.plans.lineage import cut
+from pointloom.plans.lineage import cut, ensure_checkpoint_dir
 from pointloom.plans.skew import lookup_join
 
 SHINGLE_WORDS = 5
@@ -48,32 +49,49 @@ def shingles(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, for large tables: in columns and compressed, a fraction of the size of a checkpoint's rows."""
+    void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid4()}"
+    plain = df.withColumns({c: F.col(c).cast("string") for c in void})
+    plain.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).withColumns({c: F.lit(None) for c in void})
+
+
 def _sketch(rows: DataFrame, shingle_words: int, bits: int) -> np.ndarray:
     """About how many texts have a shingle, by the first ``bits`` bits of its hash; 4 MB come to the driver."""
+    import zstandard
+
     parts, size = 64, 1 << bits
 
+    def packed(x: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(np.minimum(x, 2**31 - 1).astype("<i4").tobytes())
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<i4").astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
         for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(seen, (shingles(text, shingle_words) >> np.uint64(64 - bits)).astype(np.int64), 1)
         if seen.any():
-            pieces = np.minimum(seen, 2**31 - 1).astype("<i4").reshape(parts, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in pieces])], names=["part", "seen"])
+            pieces = [packed(x) for x in seen.reshape(parts, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(pieces)], names=["part", "seen"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(raw, "<i4").astype(np.int64)
+                sums[part] = sums.get(part, 0) + unpacked(raw)
         for part, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes()])], names=["part", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(x)])], names=["part", "seen"])
 
     schema = "part int, seen binary"
     got = rows.select("text").mapInArrow(run, schema).repartition("part").mapInArrow(add, schema).collect()
     out = np.zeros((parts, size // parts), np.int32)
     for r in got:
-        out[r.part] = np.frombuffer(r.seen, "<i4")
+        out[r.part] = unpacked(r.seen)
     return out.ravel()
 
 
@@ -134,7 +152,7 @@ def _similar(rows: DataFrame, pairs: DataFrame, shingle_words: int, bits: int) -
                 sets = [shingles(t, shingle_words).view(np.int64) for t in some.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "s"])
 
-    sets = cut(rows.select("row", slot, "text").mapInArrow(run, "row long, s array<long>"))
+    sets = _stored(rows.select("row", slot, "text").mapInArrow(run, "row long, s array<long>"))
     left, right = (sets.select(F.col("row").alias(x), F.col("s").alias(f"s{x}"), F.size("s").cast("long").alias(f"n{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").where(_enough(F.size(F.array_intersect("sa", "sb")))).select("a", "b")
 
@@ -149,7 +167,7 @@ def _links(rows: DataFrame, nodes: DataFrame, shingle_words: int, table_bits: in
     entries = nodes.select("row", "n", F.posexplode("prefix").alias("i", "key"))
     same_key = Window.partitionBy("key")
     least = F.min(F.struct("row", "n", "i")).over(same_key)
-    met = cut(entries.withColumn("first", least).withColumn("last", F.max("row").over(same_key)).where("first.row < last").drop("last"))
+    met = _stored(entries.withColumn("first", least).withColumn("last", F.max("row").over(same_key)).where("first.row < last").drop("last"))
     stars = met.where("first.row < row").select(
         F.col("first.row").alias("a"), F.col("first.n").alias("na"), F.col("first.i").alias("ia"),
         F.col("row").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"),
@@ -159,7 +177,7 @@ def _links(rows: DataFrame, nodes: DataFrame, shingle_words: int, table_bits: in
     known = connected_components(links, "a", "b").withColumnRenamed("node", "row")
     met = met.drop("first").join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
     apart = F.min("component").over(same_key) < F.max("component").over(same_key)
-    met = cut(met.withColumn("apart", apart).where("apart").drop("apart"))
+    met = _stored(met.withColumn("apart", apart).where("apart").drop("apart"))
     a, b = (met.select("key", F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     rest = cut(_may_reach(a.join(b, "key").where("a < b and ca <> cb")).join(compared, ["a", "b"], "left_anti"))
     return links.unionByName(_similar(rows, rest, shingle_words, table_bits))
@@ -173,9 +191,9 @@ def distinct_rows(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, sketch_bi
     a null one last, and of repeated rows the first. Texts without words are alike. An
     empty table gives an empty result.
     """
-    whole = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    whole = _stored(docs.withColumn("row", F.monotonically_increasing_id()))
     rows = texts(whole, "row")
-    signed = cut(_signed(rows, _sketch(rows, shingle_words, sketch_bits), shingle_words, sketch_bits))
+    signed = _stored(_signed(rows, _sketch(rows, shingle_words, sketch_bits), shingle_words, sketch_bits))
     sets = cut(signed.groupBy("fp").agg(F.min("row").alias("node"), F.count("*").alias("n_rows")))
     nodes = signed.join(sets.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "prefix")
     groups = cut(connected_components(_links(rows, nodes, shingle_words, table_bits), "a", "b"))

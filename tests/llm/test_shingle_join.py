@@ -61,3 +61,11 @@ def test_the_stage_finds_what_is_five_bits_apart(spark):
     rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(less)), (4, ""), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "null as lang", "null as source", "1L as n_chars")
     assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, "").collect()) == brute(rows) == [1, 3, 4]
+
+
+def test_repeated_and_null_ids_neither_lose_texts_nor_keep_copies(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (1, two), (2, one), (None, two), (None, three), (None, three), (3, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("doc_id", "text", "null as lang", "null as source", "1L as n_chars")
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (1, two), (None, three)], key=str)
