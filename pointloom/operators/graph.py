@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pointloom.plans.lineage import cut
+from pointloom.plans.skew import lookup_join
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """Least neighbour of each ``u``, aggregated before the shuffle so that hubs do not skew it."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Adds to each edge ``m``, the least of ``u`` and its neighbours ``v``; a hub's edges are not gathered in one task."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return lookup_join(edges, least, "u", "n", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least_neighbour(both).withColumnRenamed("u", "c")
-    linked = both.join(least, F.col("u") == F.col("c"))
+    linked = _with_least(both, 2 * total)
     return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """``edges`` point downwards (u > v), as the large star leaves them."""
-    least = _least_neighbour(edges).withColumnRenamed("u", "c")
-    linked = edges.join(least, F.col("u") == F.col("c"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` point downwards (u > v), as the large star leaves them, no more than ``total`` of them."""
+    linked = _with_least(edges, total)
     down = linked.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = least.select(F.col("c").alias("u"), F.col("m").alias("v"))
+    own = edges.groupBy("u").agg(F.min("v").alias("v"))
     return down.unionByName(own).distinct()
 
 
@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        current = cut(_small_star(_large_star(current)))
+        current = cut(_small_star(_large_star(current, state[0]), state[0]))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     known = current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     alone = loops.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
