@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from pointloom.llm.common import map_arrow, texts
 from pointloom.llm.vocab import CACHE_LETTERS, CACHE_PIECES, BacktrackingEncoder, OffsetDecoder, Splitter, load, vocabulary_path
@@ -82,7 +82,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per row the token count and the digests of its ids and of the text decoded from them, in one pass."""
+    """Per row the token count and the digests of its ids and of the text decoded from them, in one pass.
+
+    A null text encodes as the empty text, to no ids, and decodes to it. Null ids and repeated
+    rows are encoded like any other; an empty table gives no rows. No shuffle.
+    """
 
     def make():
         c = codec(path)
@@ -98,7 +102,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Per row its id, source, language, ids (binary) and their number, with the digests that ``digests`` gives."""
+    """Per row its id, source, language, ids (binary) and their number, with the digests that ``digests`` gives.
+
+    A null text encodes as the empty text, to no ids. A table without source or language has
+    null there. Null ids and repeated rows are encoded like any other; an empty table gives no rows.
+    """
 
     def make():
         c = codec(path)
@@ -118,7 +126,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         return step
 
     schema = "doc_id long, lang string, source string, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
-    return map_arrow(texts(docs, "lang", "source"), schema, make)
+    more = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
+    return map_arrow(texts(docs, *more), schema, make)
 
 
 def _released(items: list) -> Iterator[str]:

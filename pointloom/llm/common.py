@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame, *more: Column | str) -> DataFrame:
     """doc_id, text (null becomes empty) and ``more``, whatever other columns there are."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
@@ -33,18 +33,19 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of SLICE_ROWS rows, so that few of a batch's texts are Python strings at once."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that few of a batch's texts are Python strings at once."""
     for batch in batches:
-        for i in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(i, SLICE_ROWS)
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
-def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """Map Arrow batches, SLICE_ROWS rows at a time, to columns named as in ``schema``.
+def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Map Arrow batches, ``slice_rows`` rows at a time, to columns named as in ``schema``.
 
     ``make`` runs once a task and returns the function of a batch, which returns a
-    dict of equally long lists or arrays; its state so lives no longer than the task.
+    dict of equally long lists or arrays. What it builds lives as long as the task, unless
+    it takes it from a cache of the Python worker's process.
     """
     out = T.StructType.fromDDL(schema)
 
@@ -53,7 +54,7 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
         arrow = to_arrow_schema(out)
         step = make()
-        for batch in sliced(batches):
+        for batch in sliced(batches, slice_rows):
             columns = step(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 

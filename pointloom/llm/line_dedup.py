@@ -18,6 +18,8 @@ MIN_DOCUMENTS = 3
 #: cannot miss one that holds over a 2000th of all lines.
 SKETCH_GROUPS, SKETCH_ITEMS, SKETCH_TOP = 64, 256, 64
 HOT_SHARE = 2000
+#: With more partitions than that, hashes that hold over one partition's share are sought, up to this many.
+MOST_HOT_SHARE = 100_000
 
 
 def _lines(text: Column) -> Column:
@@ -37,15 +39,18 @@ def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _hot(lines: DataFrame) -> DataFrame:
-    """The h1 of over a HOT_SHARE-th of all lines, from mergeable sketches of all lines.
+    """The h1 of over a HOT_SHARE-th of all lines, or of a shuffle partition's share, from mergeable sketches of all lines.
 
-    Which keys are listed, a few thousand at most, decides only how they are processed,
-    not the result. Tasks send sketches of a fixed size, to as many tasks as groups.
+    Which keys are listed, fewer than the number of shares, decides only how they are processed,
+    not the result. Tasks send sketches of a fixed size; there are as many groups of them as it
+    takes for one to find every key above the limit.
     """
+    share = min(max(HOT_SHARE, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_HOT_SHARE)
+    groups = SKETCH_GROUPS * -(-share // HOT_SHARE)
     top = F.expr(f"approx_top_k(h1, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top")
-    sketches = lines.groupBy(F.pmod("h1", F.lit(SKETCH_GROUPS)).alias("g")).agg(top)
+    sketches = lines.groupBy(F.pmod("h1", F.lit(groups)).alias("g")).agg(top)
     found = sketches.select(F.explode("top").alias("hot")).where(F.col("hot.item").isNotNull())
-    return found.where(F.col("hot.count") * HOT_SHARE > lines.count()).select(F.col("hot.item").alias("h1"))
+    return found.where(F.col("hot.count") * share > lines.count()).select(F.col("hot.item").alias("h1"))
 
 
 def _dropped_light(lines: DataFrame, min_documents: int) -> DataFrame:
@@ -100,6 +105,17 @@ def kept_lines(lines: Column, dropped: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(lines, begin(i) + 1, end(i) - begin(i))))
 
 
+def _kept(docs: DataFrame, min_chars: int, min_documents: int) -> DataFrame:
+    """Every row of ``docs``, its columns as __x_<name>, with __n_lines, __n_dropped and __kept, the text that stays."""
+    bitmaps = keep_bitmaps(docs, min_chars, min_documents)
+    bitmaps = bitmaps.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped"), F.col("n_dropped").alias("__n"))
+    own = docs.select(*(F.col(f"`{c}`").alias(f"__x_{c}") for c in docs.columns), F.coalesce("text", F.lit("")).alias("__text"))
+    joined = own.join(bitmaps, F.col("__x_doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__t")), "left")
+    lines = _lines(F.col("__text"))
+    kept = F.when(F.col("__dropped").isNull(), F.col("__text")).otherwise(F.concat_ws("\n", kept_lines(lines, F.col("__dropped"))))
+    return joined.withColumns({"__n_lines": F.size(lines).cast("long"), "__n_dropped": F.coalesce("__n", F.lit(0)).cast("long"), "__kept": kept})
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``extra`` columns of the input, n_lines, n_dropped and the kept text, one row per input row.
 
@@ -108,19 +124,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     told apart by doc_id: rows that share one count once and keep or lose a key
     together; null is an id below all others. An empty table gives an empty result.
     """
-    bitmaps = keep_bitmaps(docs, min_chars, min_documents)
-    bitmaps = bitmaps.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "dropped", "n_dropped")
-    own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"), *(F.col(c).alias(f"__x_{c}") for c in extra))
-    joined = own.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__t")), "left")
-    lines = _lines(F.col("__text"))
-    kept = F.when(F.col("dropped").isNull(), F.col("__text")).otherwise(F.concat_ws("\n", kept_lines(lines, F.col("dropped"))))
-    return joined.select(
-        "doc_id",
-        *(F.col(f"__x_{c}").alias(c) for c in extra),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        kept.alias("kept_text"),
-    )
+    made = _kept(docs.select("doc_id", "text", *(F.col(f"`{c}`") for c in extra)), min_chars, min_documents)
+    own = [F.col(f"`__x_{c}`").alias(c) for c in ("doc_id", *extra)]
+    return made.select(*own, F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__kept").alias("kept_text"))
+
+
+def clean_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``docs`` with all its columns, the texts without their dropped lines, and n_chars, if there is one, to match; null texts stay null."""
+    made, dropped = _kept(docs, min_chars, min_documents), F.col("__n_dropped") > 0
+    new = {"text": F.when(dropped, F.col("__kept")).otherwise(F.col("__x_text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(dropped, F.char_length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__x_n_chars"))
+    return made.select(*(new.get(c, F.col(f"`__x_{c}`")).alias(c) for c in docs.columns))
 
 
 def op8(docs: DataFrame) -> DataFrame:

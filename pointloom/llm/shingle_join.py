@@ -1,5 +1,9 @@
 """Near-dedup by the exact similarity of word shingles: every pair that reaches it is found.
 
+Multi-index hashing of SimHashes finds the pairs that are a few bits apart. As texts of a
+similarity of 0.8 may be 15 bits apart, which no small Hamming ball reaches, the pairs that it
+leaves are found by a prefix filter; both only propose pairs, which are compared by whole sets.
+
 Sets of shingles with a Jaccard similarity of t or more share a shingle among the
 first n - ceil(t * n) + 1 of each, in any one order of all shingles. The order goes by
 a sketch of how often shingles occur, rare ones first, so few texts meet at one.
@@ -10,23 +14,24 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pointloom.llm.common import LOWER, UPPER, map_arrow, sliced, texts
+from pointloom.llm.simhash import CROWDED, MAX_DISTANCE, SEGMENTS, as_long, hamming_links, simhash
 from pointloom.operators.graph import connected_components
-from pointloom.plans.lineage import cut, ensure_checkpoint_dir
-from pointloom.plans.skew import lookup_join
+from pointloom.plans.lineage import cut, stored
+from pointloom.plans.skew import among, lookup_join, without
 
 SHINGLE_WORDS = 5
 #: Texts are near-duplicates from a Jaccard similarity of SIMILAR[0] / SIMILAR[1].
 SIMILAR = (4, 5)
-#: Slots of the sketch of shingle counts, and bits of the table of texts to compare; both sizes are fixed.
+#: Slots of the sketch of shingle counts, and of the table of shingles that several texts have, as powers of two;
+#: both sizes are fixed and change only how many entries are moved, not the result.
 SKETCH_BITS = 20
-TABLE_BITS = 22
+TABLE_BITS = 25
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -49,15 +54,6 @@ def shingles(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, for large tables: in columns and compressed, a fraction of the size of a checkpoint's rows."""
-    void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid4()}"
-    plain = df.withColumns({c: F.col(c).cast("string") for c in void})
-    plain.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(plain.schema).parquet(path).withColumns({c: F.lit(None) for c in void})
-
-
 def _sketch(rows: DataFrame, shingle_words: int, bits: int) -> np.ndarray:
     """About how many texts have a shingle, by the first ``bits`` bits of its hash; 4 MB come to the driver."""
     import zstandard
@@ -96,7 +92,7 @@ def _sketch(rows: DataFrame, shingle_words: int, bits: int) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, sketch: np.ndarray, shingle_words: int, bits: int) -> DataFrame:
-    """(row, doc_id, fp, n, prefix): what equal sets share, the number of shingles, and the first in the order."""
+    """(row, doc_id, fp, sim, n, prefix): what equal sets share, the SimHash, the number of shingles, and the first in the order."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def make():
@@ -105,20 +101,21 @@ def _signed(rows: DataFrame, sketch: np.ndarray, shingle_words: int, bits: int)
         counts = shared.value
 
         def step(batch: pa.RecordBatch) -> dict:
-            fps, sizes, prefixes = [], [], []
+            fps, sims, sizes, prefixes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text, shingle_words)
                 n = len(s)
                 order = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))
                 first = n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1 if n else 0
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sims.append(as_long(simhash(text, shingle_words)))
                 sizes.append(n)
                 prefixes.append(s[order[:first]].view(np.int64))
-            return {"row": batch.column(0), "doc_id": batch.column(1), "fp": fps, "n": sizes, "prefix": prefixes}
+            return {"row": batch.column(0), "doc_id": batch.column(1), "fp": fps, "sim": sims, "n": sizes, "prefix": prefixes}
 
         return step
 
-    return map_arrow(rows.select("row", "doc_id", "text"), "row long, doc_id long, fp binary, n long, prefix array<long>", make)
+    return map_arrow(rows.select("row", "doc_id", "text"), "row long, doc_id long, fp binary, sim long, n long, prefix array<long>", make)
 
 
 def _enough(overlap: Column) -> Column:
@@ -132,55 +129,98 @@ def _may_reach(pairs: DataFrame) -> DataFrame:
     return pairs.where(_enough(rest)).select("a", "b").distinct()
 
 
-def _similar(rows: DataFrame, pairs: DataFrame, shingle_words: int, bits: int) -> DataFrame:
+def _similar(rows: DataFrame, pairs: DataFrame, shingle_words: int) -> DataFrame:
     """The pairs whose whole sets are similar. Only texts in pairs are read into sets and shuffled."""
-    ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    slot = F.shiftrightunsigned(F.xxhash64("row"), 64 - bits).alias("slot")
-    word = F.shiftright("slot", 6).cast("int").alias("word")
-    words = ends.select(slot).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
-    table = np.zeros(2**bits // 64, dtype=np.int64)
+    ends = cut(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            return {"row": batch.column(0), "s": [shingles(t, shingle_words).view(np.int64) for t in batch.column(1).to_pylist()]}
+
+        return step
+
+    sets = stored(map_arrow(among(rows.select("row", "text"), ends, "row"), "row long, s array<long>", make, slice_rows=64))
+    left, right = (sets.select(F.col("row").alias(x), F.col("s").alias(f"s{x}"), F.size("s").cast("long").alias(f"n{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(_enough(F.size(F.array_intersect("sa", "sb")))).select("a", "b")
+
+
+def _hamming_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose SimHashes are equal or within MAX_DISTANCE bits, found by multi-index hashing."""
+    heads = cut(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("row").alias("head"), F.count("*").alias("n")))
+    near = hamming_links(heads.select("fp"), MAX_DISTANCE, SEGMENTS, CROWDED)
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
+    across = near.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    same = lookup_join(nodes.select("row", F.col("sim").alias("fp")), heads.where("n > 1"), "fp", "n", nodes.count(), how="inner")
+    return across.unionByName(same.where("head < row").select(F.col("head").alias("a"), F.col("row").alias("b")))
+
+
+def _repeated_entries(nodes: DataFrame, table_bits: int) -> DataFrame:
+    """(row, n, i, key, first, na, ia): prefix entries of keys that several nodes have, with the key's least node.
+
+    Only keys and rows are shuffled for all entries. A bit table of fixed size then lets
+    few entries of the other keys through, and joins on what is left are exact.
+    """
+    entries = nodes.select("row", F.explode("prefix").alias("key"))
+    repeated = entries.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n_rows"))
+    repeated = stored(repeated.where("first < last").drop("last"))
+    slot = F.shiftrightunsigned(F.col("key"), 64 - table_bits)
+    word = F.shiftright(slot, 6).cast("int").alias("word")
+    bit = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")
+    words = repeated.groupBy(word).agg(bit).toArrow()  # at most 2 ** table_bits / 64 rows
+    table = np.zeros(2**table_bits // 64, dtype=np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(table.tobytes())
+    shared = nodes.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(shared.value, dtype=np.uint64)
-        for batch in batches:
-            slots = batch.column(1).to_numpy()
+        for batch in sliced(batches):
+            prefix = batch.column(2)
+            keys = prefix.flatten().to_numpy(zero_copy_only=False)
+            sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
+            slots = (keys.view(np.uint64) >> np.uint64(64 - table_bits)).astype(np.int64)
             hit = np.flatnonzero(wanted[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1))
-            for i in range(0, len(hit), 64):
-                some = batch.take(pa.array(hit[i : i + 64]))
-                sets = [shingles(t, shingle_words).view(np.int64) for t in some.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "s"])
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            places = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rows, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            columns = [rows[at[hit]], n[at[hit]], places[hit].astype(np.int64), keys[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "n", "i", "key"])
+
+    kept = stored(nodes.select("row", "n", "prefix").mapInArrow(run, "row long, n long, i long, key long"))
+    firsts = kept.select(F.col("row").alias("first"), F.col("n").alias("na"), F.col("i").alias("ia"), "key")
+    return stored(lookup_join(kept, repeated.join(firsts, ["key", "first"]), "key", "n_rows", kept.count(), how="inner"))
 
-    sets = _stored(rows.select("row", slot, "text").mapInArrow(run, "row long, s array<long>"))
-    left, right = (sets.select(F.col("row").alias(x), F.col("s").alias(f"s{x}"), F.size("s").cast("long").alias(f"n{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").where(_enough(F.size(F.array_intersect("sa", "sb")))).select("a", "b")
+
+def _apart(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """``entries`` with the ``component`` of their row by ``links``, the row itself if it has none."""
+    known = connected_components(links, "a", "b").withColumnRenamed("node", "row")
+    return entries.join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
 
 
 def _links(rows: DataFrame, nodes: DataFrame, shingle_words: int, table_bits: int) -> DataFrame:
-    """Links (a, b) that join up all ``nodes`` (row, n, prefix) with similar sets.
+    """Links (a, b) that join up all ``nodes`` (row, sim, n, prefix) with similar sets.
 
-    First all nodes of a key are compared with its least one. Then only nodes that
-    these links leave in different components are compared pair by pair, so that
-    many texts of one pattern do not meet in pairs.
+    First come the pairs of multi-index hashing. What they leave apart meets at the keys of
+    its prefixes: all nodes of a key are compared with its least one, and then only those
+    that are still in different components pair by pair, so that many texts of one pattern
+    do not meet in pairs. Every pair that is compared is compared by whole sets.
     """
-    entries = nodes.select("row", "n", F.posexplode("prefix").alias("i", "key"))
-    same_key = Window.partitionBy("key")
-    least = F.min(F.struct("row", "n", "i")).over(same_key)
-    met = _stored(entries.withColumn("first", least).withColumn("last", F.max("row").over(same_key)).where("first.row < last").drop("last"))
-    stars = met.where("first.row < row").select(
-        F.col("first.row").alias("a"), F.col("first.n").alias("na"), F.col("first.i").alias("ia"),
-        F.col("row").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"),
-    )
-    compared = cut(_may_reach(stars))
-    links = cut(_similar(rows, compared, shingle_words, table_bits))
-    known = connected_components(links, "a", "b").withColumnRenamed("node", "row")
-    met = met.drop("first").join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    apart = F.min("component").over(same_key) < F.max("component").over(same_key)
-    met = _stored(met.withColumn("apart", apart).where("apart").drop("apart"))
+    near = cut(_hamming_pairs(nodes).distinct())
+    links = cut(_similar(rows, near, shingle_words))
+    met = _repeated_entries(nodes, table_bits)
+    known = cut(connected_components(links, "a", "b"))
+    own = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    first = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    stars = met.where("first < row").select(F.col("first").alias("a"), "na", "ia", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    stars = _may_reach(stars).join(near, ["a", "b"], "left_anti").join(first, "a", "left").join(own, "b", "left")
+    stars = cut(stars.where("not coalesce(ca = cb, false)").select("a", "b"))
+    links = cut(links.unionByName(_similar(rows, stars, shingle_words)))
+    met = _apart(met.drop("first", "na", "ia"), links)
+    spread = met.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_rows")).where("lo < hi").drop("lo", "hi")
+    met = stored(lookup_join(met, stored(spread).withColumn("apart", F.lit(True)), "key", "n_rows", met.count(), how="inner").drop("apart"))
     a, b = (met.select("key", F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    rest = cut(_may_reach(a.join(b, "key").where("a < b and ca <> cb")).join(compared, ["a", "b"], "left_anti"))
-    return links.unionByName(_similar(rows, rest, shingle_words, table_bits))
+    tried = near.unionByName(stars)
+    rest = cut(_may_reach(a.join(b, "key").where("a < b and ca <> cb")).join(tried, ["a", "b"], "left_anti"))
+    return links.unionByName(_similar(rows, rest, shingle_words))
 
 
 def distinct_rows(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, sketch_bits: int = SKETCH_BITS, table_bits: int = TABLE_BITS) -> DataFrame:
@@ -188,17 +228,20 @@ def distinct_rows(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, sketch_bi
 
     Rows are linked if the Jaccard similarity of their sets of shingles is at least
     SIMILAR, and grouped by links; of a group the row with the smallest doc_id stays,
-    a null one last, and of repeated rows the first. Texts without words are alike. An
-    empty table gives an empty result.
+    a null one last, and of repeated rows the first. Texts without words, null ones
+    too, are alike. An empty table gives an empty result.
     """
-    whole = _stored(docs.withColumn("row", F.monotonically_increasing_id()))
-    rows = texts(whole, "row")
-    signed = _stored(_signed(rows, _sketch(rows, shingle_words, sketch_bits), shingle_words, sketch_bits))
-    sets = cut(signed.groupBy("fp").agg(F.min("row").alias("node"), F.count("*").alias("n_rows")))
-    nodes = signed.join(sets.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "prefix")
+    whole = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = texts(whole, F.col("__row").alias("row"))
+    signed = stored(_signed(rows, _sketch(rows, shingle_words, sketch_bits), shingle_words, sketch_bits))
+    total = signed.count()
+    sets = cut(signed.groupBy("fp").agg(F.min("row").alias("node"), F.count("*").alias("n")))
+    members = cut(lookup_join(signed.select("row", "doc_id", "fp"), sets, "fp", "n", total).drop("fp"))
+    nodes = without(signed, members.where("row <> node").select("row"), "row").drop("doc_id", "fp")
     groups = cut(connected_components(_links(rows, nodes, shingle_words, table_bits), "a", "b"))
-    sets = sets.join(groups, "node", "left").select("fp", "n_rows", F.coalesce("component", "node").alias("component"))
-    members = lookup_join(signed.select("row", "doc_id", "fp"), cut(sets), "fp", "n_rows", signed.count())
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = cut(members.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row")))
-    return whole.join(kept, "row", "left_semi").select(*docs.columns)
+    linked = sets.join(groups, "node").select("node", "n", "component")
+    members = cut(lookup_join(members, cut(linked), "node", "n", total).select("row", "doc_id", F.coalesce("component", "node").alias("component")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    several = members.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = lookup_join(members.select("row", "component"), cut(several), "component", "n", total, how="inner").where("row <> first.row")
+    return without(whole, cut(gone.select(F.col("row").alias("__row"))), "__row").drop("__row")

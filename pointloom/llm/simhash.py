@@ -46,15 +46,16 @@ def simhash(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes())
 
 
+def as_long(fingerprint: int) -> int:
+    return fingerprint - (1 << BITS) if fingerprint >> (BITS - 1) else fingerprint
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and ``fp`` (the 64 bits as a signed long) of each whole text; null texts count as empty."""
 
-    def signed(value: int) -> int:
-        return value - (1 << BITS) if value >> (BITS - 1) else value
-
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column(0), "fp": [signed(simhash(t, shingle_words)) for t in batch.column(1).to_pylist()]}
+            return {"doc_id": batch.column(0), "fp": [as_long(simhash(t, shingle_words)) for t in batch.column(1).to_pylist()]}
 
         return step
 
@@ -65,13 +66,9 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for d in range(radius + 1) for c in combinations(range(bits), d)]
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def _segment(fp: Column, no: int, segments: int) -> Column:
     width = BITS // segments
-    return F.shiftrightunsigned(fp, no * width).bitwiseAND(F.lit(_signed((1 << width) - 1)).cast("long"))
+    return F.shiftrightunsigned(fp, no * width).bitwiseAND(F.lit(as_long((1 << width) - 1)).cast("long"))
 
 
 def _radii(max_distance: int, segments: int) -> list[int]:
@@ -84,7 +81,7 @@ def _radii(max_distance: int, segments: int) -> list[int]:
     return [radius if i <= rest else radius - 1 for i in range(segments)]
 
 
-def _links(nodes: DataFrame, max_distance: int, segments: int, crowded: int) -> DataFrame:
+def hamming_links(nodes: DataFrame, max_distance: int, segments: int, crowded: int) -> DataFrame:
     """Links (a, b) that join up all distinct fingerprints within ``max_distance`` bits.
 
     Every fingerprint is in each segment's table under its value there, and looks up
@@ -106,7 +103,7 @@ def _links(nodes: DataFrame, max_distance: int, segments: int, crowded: int) ->
 
     def ball(i: int) -> Column:
         value = _segment(fp, i, segments)
-        masks = F.array(*(F.lit(_signed(m)).cast("long") for m in _masks(width, radii[i])))
+        masks = F.array(*(F.lit(as_long(m)).cast("long") for m in _masks(width, radii[i])))
         near = F.filter(masks, lambda m: (m == 0) | (value.bitwiseAND(m.bitwiseAND(-m)) == 0))
         return F.transform(near, lambda m: F.struct(F.lit(i).alias("seg"), value.bitwiseXOR(m).alias("key"), (m == 0).alias("same")))
 
@@ -122,7 +119,7 @@ def _links(nodes: DataFrame, max_distance: int, segments: int, crowded: int) ->
         return links
     meeting = probes.select("fp", "seg", "key").join(busy, ["seg", "key"], "left_semi").select("fp")
     meeting = meeting.unionByName(entries.join(busy, ["seg", "key"], "left_semi").select("fp")).distinct()
-    masks = F.array(*(F.lit(_signed(m)).cast("long") for m in _masks(BITS, max_distance // 2)))
+    masks = F.array(*(F.lit(as_long(m)).cast("long") for m in _masks(BITS, max_distance // 2)))
     around = meeting.select("fp", F.explode(F.transform(masks, lambda m: fp.bitwiseXOR(m))).alias("near"))
     shared = around.groupBy("near").agg(F.sort_array(F.collect_set("fp")).alias("f")).where(F.size("f") > 1)
     return links.unionByName(shared.select(F.col("f")[0].alias("a"), F.explode(F.slice("f", 2, 1 << 30)).alias("b")))
@@ -146,7 +143,7 @@ def near_duplicates(
         raise ValueError("max_distance must be even")
     rows = cut(fingerprints(docs, shingle_words))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    component = cut(connected_components(_links(nodes.select("fp"), max_distance, segments, crowded), "a", "b"))
+    component = cut(connected_components(hamming_links(nodes.select("fp"), max_distance, segments, crowded), "a", "b"))
     members = component.withColumnRenamed("node", "fp").join(nodes, "fp")
     members = cut(members.select("fp", "component", "least"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))

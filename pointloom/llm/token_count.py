@@ -50,7 +50,8 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, UTF-8 bytes, tokens and whether those exceed ``limit``, of every whole text.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Every input row gives one row. No shuffle.
+    A null text counts as empty: 0 bytes, 0 tokens. Every input row gives one row, null ids and
+    repeated rows too; an empty table gives no rows. No shuffle.
     """
 
     def make():

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 from collections import defaultdict
 
@@ -53,17 +55,80 @@ def test_sizes_are_words(edge_docs):
     assert {r.doc_id: r.size for r in M.op4(edge_docs).collect() if r.doc_id} == words
 
 
-def test_samples_are_the_least_pareto_ranks(small):
-    """Within a source, a document that is sampled has no greater rank than one that is not, but for the last one."""
-    by = defaultdict(list)
-    for r in M.mix(small).collect():
-        u = (int(hashlib.md5(f"mix|{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        by[r.source].append((u, r.copies))
-    for rows in by.values():
-        least = min(c for _, c in rows)
-        more = sorted(u for u, c in rows if c > least)
-        less = sorted(u for u, c in rows if c == least)
-        assert sum(u > less[0] for u in more) <= 1 if less and more else True
+def brute(rows, weight, weights=(5, 2, 1), most=3):
+    """{doc_id: copies} of rows (doc_id, text, source), worked out source by source in plain loops."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    sources = defaultdict(list)
+    for i, _, s in rows:
+        sources[s].append(i)
+    want = targets({s: sum(size[i] for i in ids) for s, ids in sources.items()}, weights, most)
+    copies = {}
+    for s, ids in sources.items():
+        target, capped = want[s], set()
+        while True:  # hand what the capped ones leave over to the others until none is above
+            mass = sum(size[i] * weight(size[i], i) for i in ids if i not in capped)
+            level = (target - most * sum(size[i] for i in capped)) / mass if mass else 0
+            over = {i for i in ids if i not in capped and level * weight(size[i], i) > most}
+            if not over:
+                break
+            capped |= over
+        expected = {i: most if i in capped else level * weight(size[i], i) for i in ids}
+        base = {i: math.floor(e) for i, e in expected.items()}
+        rest = target - sum(base[i] * size[i] for i in ids)
+        ranks = {}
+        for i in ids:
+            part, u = expected[i] - base[i], (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if part > 0:
+                ranks[i] = (u / (1 - u)) / (part / (1 - part))
+        taken, words = set(), 0
+        for i in sorted(ranks, key=lambda i: (ranks[i], i)):
+            words += size[i]
+            if words > rest:
+                words -= size[i]
+                break
+            taken.add(i)
+        missing = rest - words
+        near = [(abs(missing - size[i]), ranks.get(i, math.inf), i) for i in ids if i not in taken and base[i] < most and abs(missing - size[i]) < missing]
+        taken |= {min(near)[2]} if near else set()
+        copies |= {i: base[i] + (i in taken) for i in ids}
+    return copies
+
+
+def test_small_table_by_brute_force(small):
+    rows = [(r.doc_id, r.text, r.source) for r in small.collect()]
+    assert {r.doc_id: r.copies for r in M.mix(small).collect()} == brute(rows, lambda size, i: size.bit_length() or 1)
+
+
+def test_weights_that_bind(spark):
+    """Heavy documents reach the most copies; what they leave over goes to the light ones, and targets are met."""
+    rng = random.Random(5)
+    rows = [(i, "w " * (10 if i < 220 else rng.randint(1, 60)), "ab"[i % 3 == 0] if i < 220 else "cd"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weight = F.when(F.col("doc_id") % 10 == 0, 50.0).otherwise(1.0)
+    got = check(docs, weight=weight)
+    assert max(taken / size for _, size, taken in got) == 3
+    assert {r.doc_id: r.copies for r in M.mix(docs, weight=weight).collect()} == brute(rows, lambda size, i: 50 if i % 10 == 0 else 1)
+
+
+def test_rows_without_an_id_are_sampled_by_their_texts(spark):
+    """They do not share one random number, which would take the shortest ones first."""
+    rows = [(None, f"t{i} " * (1 + i % 40), "ab"[i % 2]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert check(docs) == check(docs.repartition(7))
+    some = [(r.size, r.copies) for r in M.mix(docs, weights=(1, 3), weight=F.lit(1.0)).where("source = 'a'").collect()]
+    taken, left = [s for s, c in some if c], [s for s, c in some if not c]
+    assert taken and left and abs(sum(taken) / len(taken) - sum(left) / len(left)) < 3
+
+
+def test_repeated_rows_share_out_their_copies(spark):
+    """A third of all rows are one row; targets are met all the same, and no row depends on the layout."""
+    rows = [(7, "one two three", "a")] * 300 + [(100 + i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = check(docs)
+    assert got == check(docs.repartition(5))
+    repeated = M.repeat_documents(docs.withColumn("level", F.lit(1)).withColumn("end", F.lit(2)))
+    assert repeated.columns == ["doc_id", "text", "source", "level", "end"]
+    assert repeated.where("doc_id = 7").count() * 3 == sum(taken for i, _, taken in got if i == "7")
 
 
 def test_bins_do_not_change_the_result(small):

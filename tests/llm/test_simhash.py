@@ -83,7 +83,7 @@ def test_links_join_what_brute_force_joins(spark, crowded, distance, segments):
             values.append(w)
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in set(values)]
     nodes = spark.createDataFrame(signed, "fp long")
-    links = S._links(nodes, distance, segments, crowded)
+    links = S.hamming_links(nodes, distance, segments, crowded)
     assert links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > distance).count() == 0
     from pointloom.operators.graph import connected_components
 
