@@ -8,10 +8,16 @@ from pointloom.plans.lineage import cut
 from pointloom.plans.skew import lookup_join
 
 
+#: So many edges, of 16 bytes, fit a task even if all are one hub's.
+TASK_EDGES = 1 << 20
+
+
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """Adds to each edge ``m``, the least of ``u`` and its neighbours ``v``; a hub's edges are not gathered in one task."""
+    """Adds to each edge ``m``, the least of ``u`` and its neighbours ``v``; a large hub's edges are not gathered in one task."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    return lookup_join(edges, least, "u", "n", total)
+    if total <= TASK_EDGES:
+        return edges.join(least.drop("n").withColumnRenamed("u", "__u"), F.col("u") == F.col("__u")).drop("__u")
+    return lookup_join(edges, least, "u", "n", total, nulls=False)
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

@@ -25,6 +25,7 @@ def lookup_join(
     total: int | Column,
     slots: int | None = None,
     how: str = "left",
+    nulls: bool = True,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (one row per key) without sending a hot key to one task.
 
@@ -32,13 +33,14 @@ def lookup_join(
     ``total`` the number of all rows. Fewer than ``slots`` keys (by default at least
     the number of partitions, at most MOST_SLOTS) can hold more than ``total / slots`` rows
     each, so the hot part of ``table`` has a proven size bound and is broadcast; all other
-    keys are small and meet in a shuffled join. Null keys match null keys; ``weight`` is
-    not in the result. ``how`` is "left", or "inner" to leave out rows whose key is not in
-    ``table``.
+    keys are small and meet in a shuffled join. Null keys match null keys, unless ``nulls``
+    says that there are none to match: plain equality of numbers takes the driver less memory
+    to broadcast. ``weight`` is not in the result. ``how`` is "left", or "inner" to leave out
+    rows whose key is not in ``table``.
     """
     table = table.withColumnRenamed(key, "__key").withColumnRenamed(weight, "__n")
     hot = F.col("__n") * F.lit(slots or slots_for(rows)) > total
-    match = F.col(key).eqNullSafe(F.col("__key"))
+    match = F.col(key).eqNullSafe(F.col("__key")) if nulls else F.col(key) == F.col("__key")
     hot_table = F.broadcast(table.where(hot))
     spread = rows.join(hot_table, match, "inner").drop("__key", "__n")
     rest = rows.join(F.broadcast(table.where(hot).select("__key")), match, "left_anti")

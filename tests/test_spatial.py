@@ -287,3 +287,15 @@ def test_top_labels_break_ties_by_position(spark):
     model = lambda png, prompts: [float(len(png))] * len(prompts)
     images = spark.createDataFrame([("o", "front", b"123")], "object string, view string, png binary")
     assert L.predict(images, table, model).count() == 48
+
+
+def test_components_with_a_hub_of_most_edges(spark, monkeypatch):
+    """As if the edges were too many for a task: the hub's are spread over several, and the result is the same."""
+    from pointloom.operators import graph
+
+    edges = spark.createDataFrame([(5, i) for i in range(100, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(399, 7), (2000, 2000)], "a long, b long")
+    rows = lambda: sorted(tuple(r) for r in graph.connected_components(edges, "a", "b").collect())
+    plain = rows()
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    assert rows() == plain
+    assert {c for _, c in plain} == {5, 1000, 2000}
