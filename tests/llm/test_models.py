@@ -60,14 +60,46 @@ def test_toxicity_of_held_out_rows(spark):
     assert got[got.y == 0].toxic.mean() < 0.01
 
 
+def _toy(n=300, seed=2):
+    """Rows of 5 of 20 features; toxic with the features 3 or 4, of which 3 is a kind of its own."""
+    rng = np.random.default_rng(seed)
+    found = [np.array(sorted(rng.choice(20, 5, replace=False)), np.int32) for _ in range(n)]
+    return found, np.array([int(3 in f or 4 in f) for f in found]), np.arange(n) % T.FOLDS
+
+
 def test_chain_uses_earlier_categories():
-    """The second label is the first one's opposite: it has no features of its own but the chain's."""
-    rng = np.random.default_rng(2)
-    found = [np.array(sorted(rng.choice(20, 5, replace=False)), np.int32) for _ in range(300)]
-    y = np.array([[int(3 in f), int(3 in f or 4 in f), int(3 in f and 4 in f)] for f in found])
-    chain = T.fit(found, y, np.arange(300) % 3, {i: i for i in range(20)})
+    """The second kind is told by the first one's features alone, and toxicity needs both."""
+    found, toxic, folds = _toy()
+    two = lambda rows, y, width: np.array([[3 in f and t, (3 in f) != (4 in f) and t] for f, t in zip(rows, y)])
+    chain = T.fit(found, toxic, folds, lambda some: {i: i for i in range(20)}, two)
     assert np.abs(np.triu(chain.earlier)).sum() == 0 and np.abs(chain.earlier[1, 0]) > 0 and np.abs(chain.earlier[2, :2]).sum() > 0
-    assert np.mean([[round(p) == t for p, t in zip(chain.predict(f), row)] for f, row in zip(found, y)]) > 0.95
+    assert np.mean([round(chain.predict(f)[-1]) == t for f, t in zip(found, toxic)]) > 0.95
+
+
+def test_out_of_fold_predictions_have_not_seen_their_labels(spark, monkeypatch):
+    """Whatever the labels of a fold, the chains that predict it, their features and their kinds are the same."""
+    found, toxic, folds = _toy()
+    schema = "doc_id long, found binary, toxic int, fold int"
+    fitted = []
+    for flip in (False, True):
+        y = np.where((folds == 1) & flip, 1 - toxic, toxic)
+        read = spark.createDataFrame([(i, f.tobytes(), int(t), int(k)) for i, (f, t, k) in enumerate(zip(found, y, folds))], schema)
+        columns, made = T._select(read, 8), {}
+        chain_of = T.Chain
+        monkeypatch.setattr(T, "Chain", lambda c, *rest: made.setdefault(len(made), chain_of(c, *rest)))
+        T.fit(found, y, folds, columns.__getitem__)
+        monkeypatch.setattr(T, "Chain", chain_of)
+        fitted.append((columns, [[c.predict(np.array([c.columns[h] for h in f.tolist() if h in c.columns], np.int32)) for f in found] for c in made.values()]))
+    without = [s for s in T._subsets() if 1 not in s]
+    assert all(fitted[0][0][s] == fitted[1][0][s] for s in without) and fitted[0][0][0, 1, 2] != fitted[1][0][0, 1, 2]
+    same = sum(any(a == b for b in fitted[1][1]) for a in fitted[0][1])
+    assert same == len(without)
+
+
+def test_kinds_are_the_blocks_of_features():
+    rows = [np.array([0, 1, 2], np.int32)] * 5 + [np.array([7, 8], np.int32)] * 3 + [np.array([12], np.int32)] * 2 + [np.array([1, 8], np.int32), np.zeros(0, np.int32)]
+    got = T.kinds_of(rows, np.array([1] * 10 + [0, 1]), 15)
+    assert got[:5, 0].all() and got[5:8, 1].all() and got[8:10, 2].all() and got.sum() == 10
 
 
 def test_toxicity_edge_cases(spark, edge_docs, no_docs):
