@@ -150,7 +150,7 @@ def _hamming_pairs(nodes: DataFrame) -> DataFrame:
     near = hamming_links(heads.select("fp"), MAX_DISTANCE, SEGMENTS, CROWDED)
     a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
     across = near.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    same = lookup_join(nodes.select("row", F.col("sim").alias("fp")), heads.where("n > 1"), "fp", "n", nodes.count(), how="inner")
+    same = lookup_join(nodes.select("row", F.col("sim").alias("fp")), heads.where("n > 1"), "fp", "n", nodes.count(), how="inner", nulls=False)
     return across.unionByName(same.where("head < row").select(F.col("head").alias("a"), F.col("row").alias("b")))
 
 
@@ -187,7 +187,7 @@ def _repeated_entries(nodes: DataFrame, table_bits: int) -> DataFrame:
 
     kept = stored(nodes.select("row", "n", "prefix").mapInArrow(run, "row long, n long, i long, key long"))
     firsts = kept.select(F.col("row").alias("first"), F.col("n").alias("na"), F.col("i").alias("ia"), "key")
-    return stored(lookup_join(kept, repeated.join(firsts, ["key", "first"]), "key", "n_rows", kept.count(), how="inner"))
+    return stored(lookup_join(kept, repeated.join(firsts, ["key", "first"]), "key", "n_rows", kept.count(), how="inner", nulls=False))
 
 
 def _apart(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -207,16 +207,12 @@ def _links(rows: DataFrame, nodes: DataFrame, shingle_words: int, table_bits: in
     near = cut(_hamming_pairs(nodes).distinct())
     links = cut(_similar(rows, near, shingle_words))
     met = _repeated_entries(nodes, table_bits)
-    known = cut(connected_components(links, "a", "b"))
-    own = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    first = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     stars = met.where("first < row").select(F.col("first").alias("a"), "na", "ia", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    stars = _may_reach(stars).join(near, ["a", "b"], "left_anti").join(first, "a", "left").join(own, "b", "left")
-    stars = cut(stars.where("not coalesce(ca = cb, false)").select("a", "b"))
+    stars = cut(_may_reach(stars).join(near, ["a", "b"], "left_anti"))
     links = cut(links.unionByName(_similar(rows, stars, shingle_words)))
     met = _apart(met.drop("first", "na", "ia"), links)
     spread = met.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_rows")).where("lo < hi").drop("lo", "hi")
-    met = stored(lookup_join(met, stored(spread).withColumn("apart", F.lit(True)), "key", "n_rows", met.count(), how="inner").drop("apart"))
+    met = stored(lookup_join(met, stored(spread).withColumn("apart", F.lit(True)), "key", "n_rows", met.count(), how="inner", nulls=False).drop("apart"))
     a, b = (met.select("key", F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     tried = near.unionByName(stars)
     rest = cut(_may_reach(a.join(b, "key").where("a < b and ca <> cb")).join(tried, ["a", "b"], "left_anti"))
@@ -236,12 +232,12 @@ def distinct_rows(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, sketch_bi
     signed = stored(_signed(rows, _sketch(rows, shingle_words, sketch_bits), shingle_words, sketch_bits))
     total = signed.count()
     sets = cut(signed.groupBy("fp").agg(F.min("row").alias("node"), F.count("*").alias("n")))
-    members = cut(lookup_join(signed.select("row", "doc_id", "fp"), sets, "fp", "n", total).drop("fp"))
+    members = cut(lookup_join(signed.select("row", "doc_id", "fp"), sets, "fp", "n", total, nulls=False).drop("fp"))
     nodes = without(signed, members.where("row <> node").select("row"), "row").drop("doc_id", "fp")
     groups = cut(connected_components(_links(rows, nodes, shingle_words, table_bits), "a", "b"))
     linked = sets.join(groups, "node").select("node", "n", "component")
-    members = cut(lookup_join(members, cut(linked), "node", "n", total).select("row", "doc_id", F.coalesce("component", "node").alias("component")))
+    members = cut(lookup_join(members, cut(linked), "node", "n", total, nulls=False).select("row", "doc_id", F.coalesce("component", "node").alias("component")))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     several = members.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = lookup_join(members.select("row", "component"), cut(several), "component", "n", total, how="inner").where("row <> first.row")
+    gone = lookup_join(members.select("row", "component"), cut(several), "component", "n", total, how="inner", nulls=False).where("row <> first.row")
     return without(whole, cut(gone.select(F.col("row").alias("__row"))), "__row").drop("__row")

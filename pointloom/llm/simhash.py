@@ -147,11 +147,11 @@ def near_duplicates(
     members = component.withColumnRenamed("node", "fp").join(nodes, "fp")
     members = cut(members.select("fp", "component", "least"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    linked = lookup_join(members, cut(least), "component", "n", members.count())
+    linked = lookup_join(members, cut(least), "component", "n", members.count(), nulls=False)
     linked = linked.select("fp", "component_id", F.lit(True).alias("linked"))
     table = nodes.join(linked, "fp", "left")
     table = table.select("fp", "n", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    joined = lookup_join(rows, cut(table), "fp", "n", rows.count())
+    joined = lookup_join(rows, cut(table), "fp", "n", rows.count(), nulls=False)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
