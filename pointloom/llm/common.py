@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACE.encode()
 SLICE_ROWS = 1024
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,8 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in batches of SLICE_ROWS rows, unless the session says otherwise than Spark's default."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(SLICE_ROWS))
+
+
 def texts(docs: DataFrame, *more: Column | str) -> DataFrame:
     """doc_id, text (null becomes empty) and ``more``, whatever other columns there are."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pointloom.llm.common import SPACE_BYTES, map_arrow, sliced, texts
+from pointloom.llm.common import SPACE_BYTES, map_arrow, sliced, small_batches, texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 8
@@ -149,6 +149,7 @@ def judge(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = C
 
 def filter_documents(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a shuffle."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
