@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pointloom.functions import geometry as G
 from pointloom.operators.boxes import CENTRE, HIGH, LOW, boxes, is_big
 from pointloom.operators.graph import connected_components
-from pointloom.operators.neighbours import _at_places, _places, near_places, radius_count
-from pointloom.plans.lineage import cut
+from pointloom.operators.neighbours import _at_places, _places, crowded, has_near, near_places
+from pointloom.operators.statistics import percentiles
+from pointloom.plans.lineage import cut, stored
+from pointloom.plans.numbering import number_rows, ranks
 from pointloom.plans.params import DbscanAuto, Merge, Split, Structure
 
 NOISE = -1
@@ -19,28 +23,53 @@ NOISE = -1
 def compact(labelled: DataFrame, label: str = "label") -> DataFrame:
     """Labels renumbered 0, 1, ... in their order; noise (negative or null) is -1. Only the distinct labels are put in order."""
     known = labelled.where(F.col(label) >= 0).select(F.col(label).alias("__old")).distinct()
-    table = known.withColumn("__new", F.dense_rank().over(Window.orderBy("__old")) - 1)
+    table = ranks(known, ["__old"], "__new").withColumn("__new", F.col("__new") - 1)
     joined = labelled.join(table, F.col(label) == F.col("__old"), "left")
     return joined.withColumn(label, F.coalesce("__new", F.lit(NOISE)).cast("int")).drop("__old", "__new")
 
 
-def _core_edges(core: DataFrame, eps: float, keys: list[str]) -> DataFrame:
-    """(u, v): links between the first core points of small cells that join up all core points within ``eps``.
-
-    A cell's diagonal is below ``eps``, so all its core points are in one cluster and
-    only one link a pair of cells is kept.
-    """
+def _heads(core: DataFrame, eps: float, keys: list[str]) -> DataFrame:
+    """Core places with ``head``, the first of their small cell. Its diagonal is below ``eps``, so all of a cell are in one cluster."""
     side = eps / math.sqrt(3) * 0.999
     fine = core.withColumns({f"f{c}": G.cell(F.col(f"r{c}"), F.lit(0.0), side) for c in G.XYZ})
     head = fine.groupBy(*keys, "fx", "fy", "fz").agg(F.min("rid").alias("head"))
-    fine = fine.join(head, [*keys, "fx", "fy", "fz"])
-    right = fine.select(*keys, *(f"r{c}" for c in G.XYZ), F.col("head").alias("rhead"))
-    left = fine.select(*keys, *(F.col(f"r{c}").alias(f"l{c}") for c in G.XYZ), F.col("head").alias("lhead"))
-    pairs = near_places(left, right, eps, keys).where("lhead < rhead").select(F.col("lhead").alias("u"), F.col("rhead").alias("v")).distinct()
-    return pairs.unionByName(fine.select(F.col("head").alias("u"), F.col("rid").alias("v")))
+    return fine.join(head, [*keys, "fx", "fy", "fz"]).drop("fx", "fy", "fz")
+
+
+class Places(NamedTuple):
+    """Distinct places (``keys``, r*, n, rid) of a cloud, and the pairs (lid, rid, d2) of their ids, lid < rid, up to a radius, if those were stored."""
+
+    spots: DataFrame
+    pairs: DataFrame | None = None
+
+
+#: Pairs of places are stored, to be filtered for smaller radii, if there are at most so many a place.
+STORED_PAIRS = 64
 
 
-def dbscan(points: DataFrame, eps: float, min_points: int, by: list[str] | None = None, numbered: bool = True) -> DataFrame:
+def places_of(points: DataFrame, keys: list[str]) -> Places:
+    return Places(cut(_places(points, "r", keys, F.count("*").alias("n"), F.min("point_id").alias("rid"))))
+
+
+def with_pairs(places: Places, radius: float, keys: list[str], most: int = STORED_PAIRS) -> Places:
+    """Joins the places up to ``radius`` once, for any radius that is not larger."""
+    sides = [places.spots.select(*keys, *(F.col(f"r{c}").alias(f"{p}{c}") for c in G.XYZ), F.col("rid").alias(f"{p}id")) for p in "lr"]
+    pairs = near_places(*sides, radius, keys).where("lid < rid").select("lid", "rid", "d2")
+    return places._replace(pairs=stored(pairs)) if pairs.count() <= most * places.spots.count() else places
+
+
+def _linked(left: DataFrame, right: DataFrame, eps: float, keys: list[str], pairs: DataFrame | None) -> DataFrame:
+    """Pairs within ``eps`` of places ``left`` and ``right``, which have a rid and one more column each."""
+    (a,), (b,) = ([c for c in t.columns if c not in (*keys, "rx", "ry", "rz", "rid")] for t in (left, right))
+    if pairs is None:
+        turned = left.select(*keys, *(F.col(f"r{c}").alias(f"l{c}") for c in G.XYZ), F.col("rid").alias("lid"), a)
+        return near_places(turned, right.select(*keys, *(f"r{c}" for c in G.XYZ), "rid", b), eps, keys).select("lid", "rid", a, b)
+    near = pairs.where(F.col("d2") <= eps * eps)
+    both = near.select("lid", "rid").unionByName(near.select(F.col("rid").alias("lid"), F.col("lid").alias("rid")))
+    return both.join(left.select(F.col("rid").alias("lid"), a), "lid").join(right.select("rid", b), "rid").select("lid", "rid", a, b)
+
+
+def dbscan(points: DataFrame, eps: float, min_points: int, by: list[str] | None = None, numbered: bool = True, places: Places | None = None) -> DataFrame:
     """Adds ``core``, ``cluster`` and ``label`` to points with ``point_id``, x, y, z.
 
     A point with at least ``min_points`` points within ``eps``, itself included, is a
@@ -50,25 +79,33 @@ def dbscan(points: DataFrame, eps: float, min_points: int, by: list[str] | None
     With ``by``, each group is clustered by itself; labels then count over all groups.
 
     The labels do not depend on the order or partitioning of the rows. Copies of a
-    point count, but are joined once. Points without a place are noise.
+    point count, but are joined once. Points without a place are noise. ``places`` are
+    those of the points, maybe with pairs up to ``eps`` at least, to be used again.
     """
     keys = list(by or [])
-    n = F.count("*").alias("n")
-    spots = cut(_places(points, "r", keys, n, F.min("point_id").alias("rid")))
-    left = spots.select(*keys, *(F.col(f"r{c}").alias(f"l{c}") for c in G.XYZ))
-    counts = near_places(left, spots, eps, keys).groupBy(*keys, "lx", "ly", "lz").agg(F.sum("n").alias("near"))
-    renamed = counts.select(*keys, *(F.col(f"l{c}").alias(f"r{c}") for c in G.XYZ), (F.col("near") >= min_points).alias("core"))
-    marked = cut(spots.join(renamed, [*keys, "rx", "ry", "rz"]))
-    core = marked.where("core")
-    component = connected_components(_core_edges(core, eps, keys), "u", "v").select(F.col("node").alias("rid"), F.col("component").alias("cluster"))
-    clustered = cut(core.join(component, "rid").select(*keys, "rx", "ry", "rz", "cluster"))
-    edge = marked.where("not core").select(*keys, *(F.col(f"r{c}").alias(f"l{c}") for c in G.XYZ))
-    border = near_places(edge, clustered, eps, keys).groupBy(*keys, "lx", "ly", "lz").agg(F.min("cluster").alias("cluster"))
-    own = clustered.select(*keys, *(F.col(f"r{c}").alias(f"l{c}") for c in G.XYZ), "cluster", F.lit(True).alias("core"))
-    table = own.unionByName(border.withColumn("core", F.lit(False)))
+    spots, pairs = places or places_of(points, keys)
+    at = [*keys, "rx", "ry", "rz"]
+    if pairs is None:
+        marked = crowded(spots, eps, min_points, keys)
+    else:
+        met = _linked(spots.select(*at, "rid", F.lit(0).alias("own")), spots.select(*at, "rid", "n"), eps, keys, pairs)
+        counts = met.groupBy(F.col("lid").alias("rid")).agg(F.sum("n").alias("near"))
+        marked = spots.join(counts, "rid", "left").withColumn("crowded", F.col("n") + F.coalesce("near", F.lit(0)) >= min_points).drop("near")
+    marked = cut(marked.withColumnRenamed("crowded", "core"))
+    core = cut(_heads(marked.where("core"), eps, keys).select(*at, "rid", "head"))
+    links = _linked(core.withColumnRenamed("head", "u"), core.withColumnRenamed("head", "v"), eps, keys, pairs).where("u < v").select("u", "v").distinct()
+    links = links.unionByName(core.select(F.col("head").alias("u"), F.col("rid").alias("v")))
+    component = connected_components(links, "u", "v").select(F.col("node").alias("rid"), F.col("component").alias("cluster"))
+    clustered = cut(core.drop("head").join(component, "rid"))
+    edge = marked.where("not core").select(*at, "rid", F.lit(0).alias("edge"))
+    border = _linked(edge, clustered, eps, keys, pairs).groupBy(F.col("lid").alias("rid")).agg(F.min("cluster").alias("cluster"))
+    border = marked.where("not core").join(border, "rid").select(*at, "cluster", F.lit(False).alias("core"))
+    table = clustered.select(*at, "cluster", F.lit(True).alias("core")).unionByName(border)
+    table = table.withColumnsRenamed({f"r{c}": f"l{c}" for c in G.XYZ})
     if numbered:
-        order = table.select("cluster").distinct().withColumn("label", (F.dense_rank().over(Window.orderBy("cluster")) - 1).cast("int"))
-        table = table.join(order, "cluster")
+        table = cut(table)
+        order = ranks(table.select("cluster").distinct(), ["cluster"], "label")
+        table = table.join(order.withColumn("label", (F.col("label") - 1).cast("int")), "cluster")
     out = _at_places(points, table, keys).withColumn("core", F.coalesce("core", F.lit(False)))
     return out.withColumn("label", F.coalesce("label", F.lit(NOISE))) if numbered else out
 
@@ -92,10 +129,16 @@ def tries(p: DbscanAuto) -> list[float]:
 
 
 def dbscan_auto(points: DataFrame, p: DbscanAuto) -> tuple[DataFrame, float]:
-    """Clusters with ever smaller radii until the largest cluster's share is small enough; the last try counts."""
-    result, used = None, p.eps
-    for eps in tries(p):
-        result, used = cut(dbscan(points, eps, p.min_points)), eps
+    """Clusters with ever smaller radii until the largest cluster's share is small enough; the last try counts.
+
+    Places are joined once, at the largest radius, and the pairs filtered for the smaller ones.
+    """
+    radii = tries(p)
+    places, result, used = places_of(points, []), None, p.eps
+    if len(radii) > 1:
+        places = with_pairs(places, max(radii), [])
+    for eps in radii:
+        result, used = cut(dbscan(points, eps, p.min_points, places=places)), eps
         if largest_fraction(result) <= p.max_fraction:
             break
     return result, used
@@ -133,11 +176,11 @@ def merge_clusters(labelled: DataFrame, p: Merge) -> DataFrame:
 
 def cut_bridges(points: DataFrame, p: Split, by: list[str]) -> DataFrame:
     """Adds ``bridge``: sparse points between dense parts of each group, unless cutting them leaves too little of it."""
-    counted = radius_count(points, p.density_radius, by, "__near").withColumn("__dense", F.col("__near") >= p.min_neighbours)
+    counted = has_near(points, p.density_radius, p.min_neighbours, by, "__dense")
     sizes = counted.groupBy(*by).agg(F.count("*").alias("__n"), F.sum(F.col("__dense").cast("long")).alias("__kept"))
     enough = (F.col("__kept") >= p.min_remain_points) & (F.col("__kept") / F.col("__n") >= p.min_remain_fraction)
     joined = counted.join(sizes.select(*by, enough.alias("__cut")), by)
-    return joined.withColumn("bridge", F.col("__cut") & ~F.col("__dense")).drop("__near", "__dense", "__cut")
+    return joined.withColumn("bridge", F.col("__cut") & ~F.col("__dense")).drop("__dense", "__cut")
 
 
 def split_clusters(labelled: DataFrame, p: Split, base_eps: float) -> DataFrame:
@@ -155,8 +198,9 @@ def split_clusters(labelled: DataFrame, p: Split, base_eps: float) -> DataFrame:
     parts = dbscan(bridged.where("not bridge"), eps, p.sub_min_points, ["label"], numbered=False).select("point_id", "label", "cluster")
     parts = cut(parts.where("cluster is not null"))
     sizes = parts.groupBy("label", "cluster").count().where(F.col("count") >= p.min_sub_cluster)
-    ranked = sizes.withColumn("part", F.row_number().over(Window.partitionBy("label").orderBy("cluster")) - 1)
-    ranked = ranked.withColumn("n_parts", F.count("*").over(Window.partitionBy("label"))).where("n_parts >= 2").select("label", "cluster", "part")
+    several = sizes.groupBy("label").agg(F.count("*").alias("n_parts")).where("n_parts >= 2").select("label")
+    ranked = cut(sizes.join(several, "label").select("label", "cluster"))
+    ranked = number_rows(ranked, ["label"], ["cluster"], "part").withColumn("part", (F.col("part") - 1).cast("int"))
     of_point = parts.join(ranked, ["label", "cluster"]).select(F.col("point_id").alias("__id"), F.col("part").alias("__part"))
     bridges = bridged.where("bridge").select(F.col("point_id").alias("__b"))
     was_split = ranked.select(F.col("label").alias("__s")).distinct()
@@ -170,7 +214,7 @@ def split_clusters(labelled: DataFrame, p: Split, base_eps: float) -> DataFrame:
 def floor_height(points: DataFrame, p: Structure) -> float | None:
     """The exact percentile of the height axis, from below or above; null without points."""
     share = p.floor_percentile / 100 if p.floor_side == "min" else 1 - p.floor_percentile / 100
-    return points.agg(F.percentile(p.height_axis, F.lit(share))).first()[0]
+    return percentiles(points, p.height_axis, {"at": share}).first()["at"]
 
 
 def floating_clusters(points: DataFrame, p: Structure, floor: float) -> DataFrame:

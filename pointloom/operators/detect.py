@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pointloom.operators.boxes import boxes, good
 from pointloom.operators.cluster import dbscan_auto, floating_clusters, floor_height, merge_clusters, split_clusters
 from pointloom.operators.neighbours import radius_outliers, remove_near
 from pointloom.operators.voxel import downsample
 from pointloom.plans.lineage import cut
-from pointloom.plans.numbering import number_rows
+from pointloom.plans.numbering import number_rows, ranks
 from pointloom.plans.params import Detect, Structure
 
 
@@ -26,7 +26,7 @@ class Detected(NamedTuple):
 
 def number_objects(table: DataFrame) -> DataFrame:
     """Boxes with ``seq`` from 1 in the order of labels, and ``object_name``. Labels keep the gaps of what was filtered."""
-    numbered = table.withColumn("seq", F.row_number().over(Window.orderBy("label")))
+    numbered = ranks(table, ["label"], "seq").withColumn("seq", F.col("seq").cast("int"))
     return numbered.withColumn("object_name", F.concat(F.lit("object_"), F.lpad(F.col("seq").cast("string"), 3, "0")))
 
 
@@ -45,8 +45,7 @@ def detect_objects(points: DataFrame, p: Detect) -> Detected:
         parted = cut(split_clusters(labelled, p.split, eps))
         bridges = parted.where("removed").drop("part", "removed")
         known = parted.where("label >= 0 and part is not null")
-        order = Window.orderBy("label", "part")
-        table = known.select("label", "part").distinct().withColumn("__new", (F.dense_rank().over(order) - 1).cast("int"))
+        table = ranks(known.select("label", "part").distinct(), ["label", "part"], "__new").withColumn("__new", (F.col("__new") - 1).cast("int"))
         labelled = known.join(table, ["label", "part"]).withColumn("label", F.col("__new")).drop("part", "removed", "__new")
         labelled = cut(labelled.unionByName(parted.where("label < 0").drop("part", "removed")))
     found = cut(number_objects(good(boxes(labelled.where("label >= 0")), p.boxes)))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pointloom.functions import geometry as G
 from pointloom.operators.graph import connected_components
 from pointloom.operators.neighbours import near_distance, transfer_colours
+from pointloom.operators.statistics import percentiles
 from pointloom.operators.transform import concat
 from pointloom.plans.lineage import cut
 from pointloom.plans.numbering import number_rows
@@ -166,7 +167,7 @@ def remove_far_vertices(mesh: Mesh, source: DataFrame, distance: float) -> Mesh:
 
 def remove_low_density(mesh: Mesh, share: float) -> Mesh:
     """Drops the vertices whose ``density`` is below the quantile of their object's."""
-    edges = mesh.vertices.groupBy("object").agg(F.percentile("density", F.lit(share)).alias("__q"))
+    edges = percentiles(mesh.vertices, "density", {"__q": share}, ["object"])
     low = mesh.vertices.join(edges, "object").where("density < __q").select("object", "vid")
     return remove_vertices(mesh, low)
 

@@ -66,9 +66,34 @@ def radius_count(points: DataFrame, radius: float, keys: Sequence[str] = (), nam
     return _at_places(points, counts, keys)
 
 
+def crowded(places: DataFrame, radius: float, least: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``crowded`` to places (r*, ``n`` points each): whether at least ``least`` points lie within ``radius``, their own included.
+
+    All points of a cell whose diagonal is below the radius are near each other, so where such a
+    cell has enough points nothing is joined. Only places of sparse cells meet their neighbours;
+    as they are few in a cell, a dense cell is met a bounded number of times for each ``least``.
+    """
+    fine = [F.floor(F.col(f"r{c}") / F.lit(radius / math.sqrt(3) * 0.999)).alias(f"__f{c}") for c in G.XYZ]
+    cells = places.groupBy(*keys, *fine).agg((F.sum("n") >= least).alias("__full")).where("__full")
+    named = places.withColumns({f"__f{c}": f for c, f in zip(G.XYZ, fine, strict=True)})
+    on = [*keys, *(f"__f{c}" for c in G.XYZ)]
+    marked = cut(named.join(cells, on, "left").drop(*(f"__f{c}" for c in G.XYZ)))
+    left = marked.where("__full is null").select(*keys, *(F.col(f"r{c}").alias(f"l{c}") for c in G.XYZ))
+    near = near_places(left, places.select(*keys, *(f"r{c}" for c in G.XYZ), "n"), radius, keys)
+    counts = near.groupBy(*keys, *(F.col(f"l{c}").alias(f"r{c}") for c in G.XYZ)).agg((F.sum("n") >= least).alias("__near"))
+    joined = marked.join(counts, [*keys, *(f"r{c}" for c in G.XYZ)], "left")
+    return joined.withColumn("crowded", F.coalesce("__full", "__near")).drop("__full", "__near")
+
+
+def has_near(points: DataFrame, radius: float, least: int, keys: Sequence[str] = (), name: str = "dense") -> DataFrame:
+    """Adds whether at least ``least`` points (of the same ``keys``) lie within ``radius``, itself included; null without a place."""
+    table = crowded(_places(points, "r", keys, F.count("*").alias("n")), radius, least, keys)
+    return _at_places(points, table.select(*keys, *(F.col(f"r{c}").alias(f"l{c}") for c in G.XYZ), F.col("crowded").alias(name)), keys)
+
+
 def radius_outliers(points: DataFrame, radius: float, nb_points: int) -> DataFrame:
     """Adds ``keep``: whether over ``nb_points`` points, itself included, lie within ``radius``."""
-    return radius_count(points, radius).withColumn("keep", F.col("n_near") > nb_points).drop("n_near")
+    return has_near(points, radius, nb_points + 1, (), "keep")
 
 
 def near_distance(points: DataFrame, target: DataFrame, radius: float, name: str = "distance") -> DataFrame:

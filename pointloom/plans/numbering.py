@@ -28,3 +28,18 @@ def number_rows(df: DataFrame, by: list[str], order: list[str], name: str) -> Da
     spans = spans.select(*(F.col(c).alias(f"__k_{c}") for c in [*by, "__part"]), "__base")
     numbered = ranged.join(spans, on).withColumn(name, F.col("__base") + F.col("__seq") + 1)
     return numbered.select(*df.columns, name)
+
+
+#: So many rows fit the sort of one task.
+TASK_ROWS = 1 << 20
+
+
+def ranks(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, ... over all rows in the order of ``order``, which tells them apart.
+
+    Up to TASK_ROWS rows are put in order in one task, more by ranges.
+    """
+    df = cut(df)
+    if df.count() <= TASK_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return number_rows(df.withColumn("__all", F.lit(0)), ["__all"], order, name).drop("__all")

@@ -182,7 +182,7 @@ def color_transfer(points: DataFrame) -> DataFrame:
 
 
 def floor_percentile(points: DataFrame) -> DataFrame:
-    return points.groupBy("label").agg(F.round(F.percentile("y", F.lit(0.01)), DECIMALS).alias("low"), F.round(F.percentile("y", F.lit(0.99)), DECIMALS).alias("high"))
+    return _rounded(S.percentiles(points, "y", {"low": 0.01, "high": 0.99}, ["label"]), "low", "high")
 
 
 def floating_clusters(points: DataFrame) -> DataFrame:
@@ -206,9 +206,9 @@ def dbscan_auto_floor(points: DataFrame) -> DataFrame:
 
 
 def cluster_fraction(points: DataFrame) -> DataFrame:
-    sizes = C.dbscan(points.drop("label"), EPS, MIN_POINTS).groupBy("label").agg(F.count("*").alias("n"))
-    most = F.max(F.when(F.col("label") >= 0, F.col("n")))
-    return sizes.agg(F.round(F.coalesce(most / F.sum("n"), F.lit(1.0)), DECIMALS).alias("fraction"), F.count(F.when(F.col("label") >= 0, 1)).alias("clusters"))
+    labelled = cut(C.dbscan(points.drop("label"), EPS, MIN_POINTS))
+    clusters = labelled.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"))
+    return clusters.select(F.round(F.lit(C.largest_fraction(labelled)), DECIMALS).alias("fraction"), "clusters")
 
 
 def merge_clusters(points: DataFrame) -> DataFrame:
