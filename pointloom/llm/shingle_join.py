@@ -32,6 +32,11 @@ SIMILAR = (4, 5)
 #: both sizes are fixed and change only how many entries are moved, not the result.
 SKETCH_BITS = 20
 TABLE_BITS = 25
+#: How often the nodes of a key are compared with how many of them before what is left apart is compared pair by pair.
+STAR_ROUNDS, CENTRES = 2, 8
+#: Slots of a set's marks, a power of two, and the columns that hold them.
+MARK_BITS = 256
+MARKS = tuple(f"m{k}" for k in range(MARK_BITS // 64))
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -91,8 +96,18 @@ def _sketch(rows: DataFrame, shingle_words: int, bits: int) -> np.ndarray:
     return out.ravel()
 
 
+def _marks(s: np.ndarray) -> np.ndarray:
+    """Of each of MARK_BITS slots, whether an odd number of the shingles falls into it, as longs.
+
+    The marks of two sets differ in no more slots than the sets differ in shingles.
+    """
+    odd = np.bincount((s & np.uint64(MARK_BITS - 1)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(rows: DataFrame, sketch: np.ndarray, shingle_words: int, bits: int) -> DataFrame:
-    """(row, doc_id, fp, sim, n, prefix): what equal sets share, the SimHash, the number of shingles, and the first in the order."""
+    """(row, doc_id, fp, sim, n, common, prefix): what equal sets share, the SimHash, the number of shingles, how frequent they are,
+    the marks of the whole set (see ``_marks``) and the first in the order."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def make():
@@ -101,21 +116,25 @@ def _signed(rows: DataFrame, sketch: np.ndarray, shingle_words: int, bits: int)
         counts = shared.value
 
         def step(batch: pa.RecordBatch) -> dict:
-            fps, sims, sizes, prefixes = [], [], [], []
+            fps, sims, sizes, commons, marks, prefixes = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text, shingle_words)
                 n = len(s)
-                order = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))
+                seen = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                order = np.lexsort((s, seen))
                 first = n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1 if n else 0
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sims.append(as_long(simhash(text, shingle_words)))
                 sizes.append(n)
+                commons.append(float(np.log2(seen + 1.0).mean()) if n else 0.0)
+                marks.append(_marks(s))
                 prefixes.append(s[order[:first]].view(np.int64))
-            return {"row": batch.column(0), "doc_id": batch.column(1), "fp": fps, "sim": sims, "n": sizes, "prefix": prefixes}
+            return {"row": batch.column(0), "doc_id": batch.column(1), "fp": fps, "sim": sims, "n": sizes, "common": commons, "prefix": prefixes} | {m: [x[k] for x in marks] for k, m in enumerate(MARKS)}
 
         return step
 
-    return map_arrow(rows.select("row", "doc_id", "text"), "row long, doc_id long, fp binary, sim long, n long, prefix array<long>", make)
+    schema = "row long, doc_id long, fp binary, sim long, n long, common double, prefix array<long>" + "".join(f", {m} long" for m in MARKS)
+    return map_arrow(rows.select("row", "doc_id", "text"), schema, make)
 
 
 def _enough(overlap: Column) -> Column:
@@ -123,10 +142,11 @@ def _enough(overlap: Column) -> Column:
     return overlap * (SIMILAR[0] + SIMILAR[1]) >= (F.col("na") + F.col("nb")) * SIMILAR[0]
 
 
-def _may_reach(pairs: DataFrame) -> DataFrame:
-    """Pairs that share enough if the shingle at which they meet is the first they share."""
+def _may_reach() -> Column:
+    """Whether ``na`` and ``nb`` shingles, of which the ia-th and ib-th are the first in common, can be similar by that and by their marks."""
     rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return pairs.where(_enough(rest)).select("a", "b").distinct()
+    differ = sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in MARKS), F.lit(0))
+    return _enough(rest) & (differ * (SIMILAR[0] + SIMILAR[1]) <= (F.col("na") + F.col("nb")) * (SIMILAR[1] - SIMILAR[0]))
 
 
 def _similar(rows: DataFrame, pairs: DataFrame, shingle_words: int) -> DataFrame:
@@ -155,14 +175,13 @@ def _hamming_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _repeated_entries(nodes: DataFrame, table_bits: int) -> DataFrame:
-    """(row, n, i, key, first, na, ia): prefix entries of keys that several nodes have, with the key's least node.
+    """(row, n, common, marks, i, key): prefix entries of keys that several nodes have, and few of the others.
 
-    Only keys and rows are shuffled for all entries. A bit table of fixed size then lets
-    few entries of the other keys through, and joins on what is left are exact.
+    Only keys and rows are shuffled for all entries; a bit table of fixed size then lets the
+    entries of repeated keys through.
     """
     entries = nodes.select("row", F.explode("prefix").alias("key"))
-    repeated = entries.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n_rows"))
-    repeated = stored(repeated.where("first < last").drop("last"))
+    repeated = entries.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
     slot = F.shiftrightunsigned(F.col("key"), 64 - table_bits)
     word = F.shiftright(slot, 6).cast("int").alias("word")
     bit = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")
@@ -174,48 +193,67 @@ def _repeated_entries(nodes: DataFrame, table_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(shared.value, dtype=np.uint64)
         for batch in sliced(batches):
-            prefix = batch.column(2)
+            prefix = batch.column(batch.num_columns - 1)
             keys = prefix.flatten().to_numpy(zero_copy_only=False)
             sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
             slots = (keys.view(np.uint64) >> np.uint64(64 - table_bits)).astype(np.int64)
             hit = np.flatnonzero(wanted[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1))
             at = np.repeat(np.arange(len(sizes)), sizes)
             places = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            columns = [rows[at[hit]], n[at[hit]], places[hit].astype(np.int64), keys[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "n", "i", "key"])
+            own = [pa.array(c.to_numpy()[at[hit]]) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(places[hit].astype(np.int64)), pa.array(keys[hit])], names=[*names, "i", "key"])
 
-    kept = stored(nodes.select("row", "n", "prefix").mapInArrow(run, "row long, n long, i long, key long"))
-    firsts = kept.select(F.col("row").alias("first"), F.col("n").alias("na"), F.col("i").alias("ia"), "key")
-    return stored(lookup_join(kept, repeated.join(firsts, ["key", "first"]), "key", "n_rows", kept.count(), how="inner", nulls=False))
+    names = ["row", "n", "common", *MARKS]
+    schema = "row long, n long, common double, " + "".join(f"{m} long, " for m in MARKS) + "i long, key long"
+    return stored(nodes.select(*names, "prefix").mapInArrow(run, schema))
+
+
+def _stars(met: DataFrame, turn: int) -> DataFrame:
+    """(a, b): some nodes of each key with those of its other components.
+
+    One is the node of the most frequent shingles: of a text and its copies with changes that is
+    the text, as a change makes rare shingles. The others come first in an order by hashes, the same
+    for all keys, anew every turn.
+    """
+    node = ("row", "n", "i", *MARKS, "component")
+    firsts = [(-F.col("common")) if turn == 0 else F.xxhash64("row", F.lit(-turn))]
+    firsts += [F.xxhash64("row", F.lit(turn * CENTRES + k)) for k in range(1, CENTRES)]
+    centres = met.groupBy("key").agg(F.array(*(F.min(F.struct(f.alias("by"), *node)) for f in firsts)).alias("c"), F.count("*").alias("n_rows"))
+    centres = cut(centres.withColumn("c", F.array_distinct(F.transform("c", lambda c: F.struct(*(c[x].alias(x) for x in node))))))
+    pairs = lookup_join(met, centres, "key", "n_rows", met.count(), how="inner", nulls=False)
+    pairs = pairs.select(*node, F.explode(F.filter("c", lambda c: c["component"] != F.col("component"))).alias("c"))
+    pairs = pairs.select(*(F.col(f"c.{x}").alias(f"{x}a") for x in node), *(F.col(x).alias(f"{x}b") for x in node)).where(_may_reach())
+    return pairs.select(F.least("rowa", "rowb").alias("a"), F.greatest("rowa", "rowb").alias("b")).distinct()
 
 
 def _apart(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """``entries`` with the ``component`` of their row by ``links``, the row itself if it has none."""
-    known = connected_components(links, "a", "b").withColumnRenamed("node", "row")
-    return entries.join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    """The ``entries`` of keys whose rows ``links`` leave in several components, with the ``component``, the row itself without links."""
+    known = cut(connected_components(links, "a", "b").withColumnRenamed("node", "row"))
+    met = entries.drop("component").join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    spread = met.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_rows"))
+    spread = cut(spread.where("lo < hi").select("key", "n_rows", F.lit(True).alias("apart")))
+    return stored(lookup_join(met, spread, "key", "n_rows", entries.count(), how="inner", nulls=False).drop("apart"))
 
 
 def _links(rows: DataFrame, nodes: DataFrame, shingle_words: int, table_bits: int) -> DataFrame:
-    """Links (a, b) that join up all ``nodes`` (row, sim, n, prefix) with similar sets.
+    """Links (a, b) that join up all ``nodes`` (row, sim, n, common, prefix) with similar sets.
 
     First come the pairs of multi-index hashing. What they leave apart meets at the keys of
-    its prefixes: all nodes of a key are compared with its least one, and then only those
+    its prefixes: all nodes of a key are compared with a few of them, twice, and then only those
     that are still in different components pair by pair, so that many texts of one pattern
     do not meet in pairs. Every pair that is compared is compared by whole sets.
     """
-    near = cut(_hamming_pairs(nodes).distinct())
-    links = cut(_similar(rows, near, shingle_words))
-    met = _repeated_entries(nodes, table_bits)
-    stars = met.where("first < row").select(F.col("first").alias("a"), "na", "ia", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    stars = cut(_may_reach(stars).join(near, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(_similar(rows, stars, shingle_words)))
-    met = _apart(met.drop("first", "na", "ia"), links)
-    spread = met.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_rows")).where("lo < hi").drop("lo", "hi")
-    met = stored(lookup_join(met, stored(spread).withColumn("apart", F.lit(True)), "key", "n_rows", met.count(), how="inner", nulls=False).drop("apart"))
-    a, b = (met.select("key", F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    tried = near.unionByName(stars)
-    rest = cut(_may_reach(a.join(b, "key").where("a < b and ca <> cb")).join(tried, ["a", "b"], "left_anti"))
+    tried = cut(_hamming_pairs(nodes).distinct())
+    links = cut(_similar(rows, tried, shingle_words))
+    met = _apart(_repeated_entries(nodes, table_bits), links)
+    for turn in range(STAR_ROUNDS):
+        stars = cut(_stars(met, turn).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(stars)
+        links = cut(links.unionByName(_similar(rows, stars, shingle_words)))
+        met = _apart(met, links)
+    a, b = (met.select("key", *(F.col(c).alias(c + x) for c in ("row", "n", "i", *MARKS, "component"))) for x in "ab")
+    rest = a.join(b, F.expr("rowa < rowb and componenta <> componentb") & (a["key"] == b["key"]) & _may_reach())
+    rest = cut(rest.select(F.col("rowa").alias("a"), F.col("rowb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     return links.unionByName(_similar(rows, rest, shingle_words))
 
 

@@ -69,3 +69,29 @@ def test_repeated_and_null_ids_neither_lose_texts_nor_keep_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("doc_id", "text", "null as lang", "null as source", "1L as n_chars")
     got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(1, one), (1, two), (None, three)], key=str)
+
+
+def test_many_texts_of_one_pattern_do_not_meet_in_pairs(spark, monkeypatch):
+    """Near the limit of similarity few of many changed copies are similar; the result is that of all pairs."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        new = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            new[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(new)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared, similar = [], J._similar
+    monkeypatch.setattr(J, "_similar", lambda rows, pairs, words: compared.append(pairs.count()) or similar(rows, pairs, words))
+    assert sorted(r.doc_id for r in J.distinct_rows(docs).collect()) == brute(rows)
+    assert sum(compared) < 120 * 119 / 2 / 3
+
+
+def test_marks_differ_no_more_than_sets():
+    rng = random.Random(3)
+    for _ in range(200):
+        a = J.shingles(" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 400))))
+        b = J.np.unique(J.np.concatenate([a[rng.randrange(len(a)) :], J.shingles(" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 60))))]))
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(J._marks(a).view(J.np.uint64).tolist(), J._marks(b).view(J.np.uint64).tolist()))
+        assert bits <= len(J.np.setxor1d(a, b))
