@@ -29,6 +29,11 @@ class Mesh(NamedTuple):
     triangles: DataFrame
 
 
+def settled(mesh: Mesh) -> Mesh:
+    """The mesh written once, so that what reads both of its tables does not make them again."""
+    return Mesh(*(cut(t) for t in mesh))
+
+
 def with_corners(mesh: Mesh, values: Sequence[str] = G.XYZ) -> DataFrame:
     """Triangles with ``values`` of their three vertices, as p0x, p0y, ... : three equi-joins."""
     out = mesh.triangles
@@ -108,10 +113,12 @@ def _edges(triangles: DataFrame) -> DataFrame:
 def remove_non_manifold(mesh: Mesh) -> Mesh:
     """Removes the smallest triangles at edges with over two, until no edge has over two.
 
-    In each round every such edge gives up its smallest triangle (then the least tid),
-    so the rounds are as many as the triangles to be removed at the worst edge.
+    In each round every such edge gives up its smallest triangle (then the least tid; areas
+    that agree to 12 decimals are equal), so the rounds are as many as the triangles to be
+    removed at the worst edge. To drop all but two of an edge at once would take more than is
+    needed where a triangle is dropped for another of its edges.
     """
-    triangles = cut(triangle_shape(mesh).select(*mesh.triangles.columns, "area"))
+    triangles = cut(triangle_shape(mesh).select(*mesh.triangles.columns, F.round("area", 12).alias("area")))
     while True:
         crowded = _edges(triangles).groupBy("object", "a", "b").agg(F.count("*").alias("n")).where("n > 2")
         touching = _edges(triangles).join(crowded, ["object", "a", "b"]).join(triangles.select("object", "tid", "area"), ["object", "tid"])
@@ -136,9 +143,9 @@ def reindex(mesh: Mesh) -> Mesh:
 
 def clean(mesh: Mesh) -> Mesh:
     """The basic clean-up, in this order: degenerate, duplicate triangles, duplicate vertices, non-manifold edges, unreferenced."""
-    for step in (remove_degenerate, remove_duplicate_triangles, remove_duplicate_vertices, remove_non_manifold, remove_unreferenced):
+    for step in (remove_degenerate, remove_duplicate_triangles, remove_duplicate_vertices):
         mesh = step(mesh)
-    return mesh
+    return remove_unreferenced(remove_non_manifold(settled(mesh)))
 
 
 def remove_vertices(mesh: Mesh, gone: DataFrame) -> Mesh:
@@ -271,16 +278,15 @@ def refine(mesh: Mesh, points: DataFrame, p: Refine, decimate=None) -> Mesh:
     """
     from pointloom.operators.transform import crop
 
-    mesh = Mesh(*(cut(t) for t in clean(mesh)))
+    mesh = settled(clean(settled(mesh)))
     low_high = mesh.vertices.agg(*(f(c) for f in (F.min, F.max) for c in G.XYZ)).first()
     if low_high[0] is None:
         return mesh
     source = cut(crop(points, low_high[:3], low_high[3:], p.crop_margin))
-    mesh = remove_far_vertices(mesh, source, p.far)
-    mesh = remove_triangles(mesh, cut(bad_triangles(mesh, source, p.sample, p.edge, p.area)))
-    mesh = remove_small_components(mesh, p.component)
-    mesh = decimate(mesh, p.triangles) if decimate else mesh
-    mesh = taubin(Mesh(*(cut(t) for t in mesh)), p.taubin_steps, p.taubin_lambda, p.taubin_mu)
-    mesh = remove_unreferenced(remove_far_vertices(mesh, source, p.final_far))
-    mesh = reindex(mesh)
+    mesh = settled(remove_far_vertices(mesh, source, p.far))
+    mesh = settled(remove_triangles(mesh, cut(bad_triangles(mesh, source, p.sample, p.edge, p.area))))
+    mesh = settled(remove_small_components(mesh, p.component))
+    mesh = settled(decimate(mesh, p.triangles)) if decimate else mesh
+    mesh = settled(taubin(mesh, p.taubin_steps, p.taubin_lambda, p.taubin_mu))
+    mesh = settled(reindex(remove_unreferenced(remove_far_vertices(mesh, source, p.final_far))))
     return Mesh(vertex_normals(Mesh(transfer_colours(mesh.vertices, source), mesh.triangles)), mesh.triangles)

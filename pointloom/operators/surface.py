@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pointloom.functions import geometry as G
-from pointloom.operators.mesh import Mesh, bad_triangles, clean, crop_mesh, remove_far_vertices, remove_low_density, remove_small_components, remove_triangles, taubin, vertex_normals
+from pointloom.operators.mesh import Mesh, bad_triangles, clean, crop_mesh, remove_far_vertices, remove_low_density, remove_small_components, remove_triangles, settled, taubin, vertex_normals
 from pointloom.operators.neighbours import _at_places, _places, near_places, transfer_colours
 from pointloom.plans.lineage import cut
 from pointloom.plans.params import Reconstruct
@@ -192,16 +192,16 @@ def reconstruct(points: DataFrame, p: Reconstruct, solver: Callable[[DataFrame,
     ends = points.agg(F.count("*").alias("n"), *(f(c) for f in (F.min, F.max) for c in G.XYZ)).first()
     enough = points.where(F.lit(ends.n >= p.min_points))
     with_normals = orient_normals(estimate_normals(enough, p.normal_radius, p.normal_neighbours), p.orient_neighbours)
-    mesh = remove_low_density(solver(with_normals, p.depth, p.scale), p.density_quantile)
+    mesh = settled(remove_low_density(settled(solver(with_normals, p.depth, p.scale)), p.density_quantile))
     if ends.n < p.min_points:
         mesh = Mesh(mesh.vertices.limit(0), mesh.triangles.limit(0))
     else:
-        mesh = crop_mesh(mesh, ends[1:4], ends[4:7], p.crop_margin)
-    mesh = clean(remove_far_vertices(mesh, points, p.vertex_distance))
+        mesh = settled(crop_mesh(mesh, ends[1:4], ends[4:7], p.crop_margin))
+    mesh = settled(clean(settled(remove_far_vertices(mesh, points, p.vertex_distance))))
     if p.max_edge is not None:
-        mesh = remove_triangles(mesh, cut(bad_triangles(mesh, points, p.centre_distance, p.max_edge, centre_only=True)))
-        mesh = remove_small_components(mesh, p.component)
-    mesh = decimate(mesh, p.triangles)
-    mesh = taubin(mesh, p.taubin_steps) if p.taubin_steps else mesh
+        mesh = settled(remove_triangles(mesh, cut(bad_triangles(mesh, points, p.centre_distance, p.max_edge, centre_only=True))))
+        mesh = settled(remove_small_components(mesh, p.component))
+    mesh = settled(decimate(mesh, p.triangles))
+    mesh = settled(taubin(mesh, p.taubin_steps)) if p.taubin_steps else mesh
     mesh = Mesh(transfer_colours(mesh.vertices, points, (0.6, 0.6, 0.6)), mesh.triangles)
     return Mesh(vertex_normals(mesh), mesh.triangles)

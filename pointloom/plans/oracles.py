@@ -9,11 +9,26 @@ import math
 
 from pointloom.operators import boxes as B, labels as L, render as R, voxel as V
 from pointloom.operators.cluster import tries
-from pointloom.operators.transform import palette
 from pointloom.plans import queries as Q
 from pointloom.plans.params import BoxFilter, DbscanAuto, Merge, Split
 
 XYZ, RGB = "xyz", "rgb"
+#: Colours of the labels 0 to 9, as written down from the published generator with the seed 0 (fixed values).
+COLOURS = (
+    (0.6369616873214543, 0.2697867137638703, 0.04097352393619469),
+    (0.016527635528529094, 0.8132702392002724, 0.9127555772777217),
+    (0.6066357757671799, 0.7294965609839984, 0.5436249914654229),
+    (0.9350724237877682, 0.8158535541215322, 0.002738500170148095),
+    (0.8574042765875693, 0.033585575305464355, 0.7296554464299441),
+    (0.17565562060255901, 0.8631789223498866, 0.5414612202490917),
+    (0.2997118905373848, 0.42268722119765845, 0.028319671145462966),
+    (0.12428327649956394, 0.6706244146936303, 0.6471895115742501),
+    (0.6153851114812539, 0.38367755426188344, 0.997209935789211),
+    (0.9808353387762301, 0.6855419844806947, 0.6504592762678163),
+)
+#: Object labels and prompts, written out (fixed values).
+OBJECTS = "bed|desk|chair|table|cabinet|shelf|drawer|sofa|monitor|box|trash bin|unknown furniture"
+PROMPTS = ("a colored 3D scan of a ", "a colored point cloud rendering of a ", "a rendered view of a ", "a 3D object rendering of a ")
 
 PTS = (
     "pts AS (SELECT vec_id AS point_id, "
@@ -364,7 +379,8 @@ def _remove_structure() -> str:
 
 
 def _colours() -> dict[str, str]:
-    table = ", ".join(f"({i}, {d(float(r))}, {d(float(g))}, {d(float(b))})" for i, (r, g, b) in enumerate(palette(range(10))))
+    # The first ten rows of a table of random numbers from the seed 0 (fixed values).
+    table = ", ".join(f"({i}, {r}::DOUBLE, {g}::DOUBLE, {b}::DOUBLE)" for i, (r, g, b) in enumerate(COLOURS))
     scaled = ", ".join(f"CASE WHEN label % 2 = 0 THEN {c} ELSE {c} * 255 END AS {c}" for c in RGB)
     to_byte = ", ".join(f"trunc(least(greatest(CASE WHEN most <= 1 THEN {c} * 255 ELSE {c} END, 0), 255))::INT AS {c}" for c in RGB)
     grey = ", ".join(f"round(coalesce(k.{c}, 0.2), 6) AS {c}" for c in RGB)
@@ -445,8 +461,8 @@ def _meshes() -> dict[str, str]:
             MESH, "pl AS (SELECT object, vid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM vertices)",
             "ids AS (SELECT object, vid, dense_rank() OVER (ORDER BY x, y, z) AS p FROM pl)",
             "tt AS (SELECT a.p AS v0, b.p AS v1, c.p AS v2 FROM triangles t " + " ".join(f"JOIN ids {n} ON {n}.object = t.object AND {n}.vid = t.{v}" for n, v in (("a", "v0"), ("b", "v1"), ("c", "v2"))) + ")",
-            f"un AS (SELECT DISTINCT {turned} AS t FROM tt WHERE v0 <> v1 AND v1 <> v2 AND v2 <> v0)",
-            "SELECT (SELECT count(*) FROM un) AS triangles, (SELECT count(DISTINCT v) FROM (SELECT unnest(t) AS v FROM un)) AS vertices",
+            f"un AS (SELECT DISTINCT {turned} AS t FROM tt WHERE v0 <> v1 AND v1 <> v2 AND v2 <> v0)", "at_ AS (SELECT DISTINCT p, x, y, z FROM pl JOIN ids USING (object, vid))",
+            "SELECT " + ", ".join(f"a{i}.{c} AS {c}{i}" for i in range(3) for c in XYZ) + " FROM un " + " ".join(f"JOIN at_ a{i} ON a{i}.p = t[{i + 1}]" for i in range(3)),
         ),
     }
 
@@ -467,7 +483,7 @@ def _pictures() -> dict[str, str]:
     disc = ", ".join(f"({a}, {b})" for a, b in R.disc(radius))
     last = d(size - 1)
     n = len(L.LABELS) * len(L.TEMPLATES)
-    prompts = ", ".join(f"({i * len(L.TEMPLATES) + j}, {i}, '{label}', '{t.format(label)}')" for i, label in enumerate(L.LABELS) for j, t in enumerate(L.TEMPLATES))
+    prompts = ", ".join(f"({4 * i + j}, {i}, '{label}', '{start}{label}')" for i, label in enumerate(OBJECTS.split("|")) for j, start in enumerate(PROMPTS))
     scores = (
         f"pm(prompt_id, label_pos, label, prompt) AS (VALUES {prompts}), "
         f"lg AS (SELECT label AS object, 'v' || (point_id % 4) AS view, (point_id % {n})::INT AS prompt_id, max(x) AS logit FROM pts GROUP BY 1, 2, 3), "

@@ -16,7 +16,7 @@ from pointloom.operators.graph import connected_components
 from pointloom.plans.lineage import cut
 from pointloom.plans.numbering import number_rows
 from pointloom.plans.scalars import one_row
-from pointloom.plans.params import BoxFilter, DbscanAuto, Detect, Merge, Split, Structure
+from pointloom.plans.params import BoxFilter, DbscanAuto, Detect, Merge, Reconstruct, Refine, Split, Structure
 
 #: Parameters of the queries, fitted to the extent of the table's cloud (about 0.9 in each direction).
 SIZE, MESH_SIZE, LEVELS = 0.1, 0.2, 8
@@ -373,26 +373,91 @@ def taubin_step(points: DataFrame) -> DataFrame:
     return _rounded(M.taubin(_welded(points), 1).vertices, *G.XYZ).select("object", "vid", *G.XYZ)
 
 
+def _by_corners(mesh: M.Mesh, *names: str) -> DataFrame:
+    """``names`` and the corners x0 to z2 of each triangle, turned so that the least corner comes first."""
+    corners = M.with_corners(mesh).select(*names, *(F.struct(*(F.round(f"p{i}{c}", DECIMALS).alias(c) for c in G.XYZ)).alias(f"c{i}") for i in range(3)))
+    least = F.least("c0", "c1", "c2")
+    turned = F.when(F.col("c0") == least, F.array("c0", "c1", "c2")).when(F.col("c1") == least, F.array("c1", "c2", "c0")).otherwise(F.array("c2", "c0", "c1"))
+    return corners.select(*names, turned.alias("t")).select(*names, *(F.col("t")[i][c].alias(f"{c}{i}") for i in range(3) for c in G.XYZ))
+
+
 def combine_meshes(points: DataFrame) -> DataFrame:
     mesh = _mesh(points)
     parts = [M.Mesh(*(t.where(c) for t in (_rounded(mesh.vertices, *G.XYZ), mesh.triangles))) for c in ("object < 5", "object >= 5")]
-    both = M.combine(parts)
-    vertices = one_row(both.vertices.agg(F.count("*").alias("n")))["n"]
-    return both.triangles.agg(F.count("*").alias("triangles")).withColumn("vertices", vertices)
+    return _by_corners(M.combine(parts))
 
 
 def decimate_mesh(points: DataFrame) -> DataFrame:
-    return surface.decimate(_welded(points), 100).triangles.groupBy("object").agg(F.count("*").alias("triangles"))
+    """Triangles of the decimated mesh by their corners, with the number of vertices that each object keeps."""
+    mesh = surface.decimate(_welded(points), 100)
+    mesh = M.Mesh(*(cut(t) for t in M.remove_unreferenced(mesh)))
+    return _by_corners(mesh, "object", "tid").join(mesh.vertices.groupBy("object").agg(F.count("*").alias("vertices")), "object")
 
 
 def clean_mesh(points: DataFrame) -> DataFrame:
-    return M.clean(_damaged(points)).triangles.select("object", "tid")
+    return M.clean(_damaged(points)).triangles.select("object", "tid", "v0", "v1", "v2")
+
+
+def non_manifold(points: DataFrame) -> DataFrame:
+    """What is left of a welded mesh with a fan of three more triangles at some edges."""
+    mesh = _welded(points)
+    fans = [mesh.triangles.where(f"tid % 11 = {k}").select("object", (F.col("tid") + 3_000_000 + 100_000 * k).alias("tid"), "v0", "v1", (F.col("v2") + 4 * (k + 1)).alias("v2")) for k in range(3)]
+    more = fans[0].unionByName(fans[1]).unionByName(fans[2])
+    inside = more.join(mesh.vertices.select("object", F.col("vid").alias("v2")), ["object", "v2"], "left_semi").where("v2 <> v0 and v2 <> v1")
+    triangles = mesh.triangles.select("object", "tid", "v0", "v1", "v2").unionByName(inside.select("object", "tid", "v0", "v1", "v2"))
+    return M.remove_non_manifold(M.Mesh(mesh.vertices, triangles)).triangles.select("object", "tid")
+
+
+def taubin_smooth(points: DataFrame) -> DataFrame:
+    """All the steps of the refinement."""
+    return _rounded(M.taubin(_welded(points.where("label < 2")), Refine().taubin_steps).vertices, *G.XYZ).select("object", "vid", *G.XYZ)
+
+
+REFINE = Refine(far=0.2, sample=0.16, edge=0.29, area=0.0201, component=10, taubin_steps=1, triangles=400, final_far=0.25)
+RECONSTRUCT = Reconstruct(0.25, 20, 0, 1.0, 0.05, 0.2, triangles=400, max_edge=0.4, centre_distance=0.25, component=10, taubin_steps=1, orient_neighbours=8, min_points=50)
+
+
+def _whole(points: DataFrame) -> DataFrame:
+    return points.drop("label").withColumn("object", F.lit(0))
+
+
+def refine_mesh(points: DataFrame) -> DataFrame:
+    """The vertices of the whole cloud's voxel mesh after its refinement, with their normals and colours."""
+    whole = _whole(points)
+    mesh = M.Mesh(*(cut(t) for t in V.surface_mesh(whole, MESH_SIZE, LEVELS)))
+    done = M.refine(M.Mesh(_rounded(mesh.vertices, *G.XYZ), mesh.triangles.select("object", "tid", "v0", "v1", "v2")), whole, REFINE, surface.decimate)
+    return _rounded(done.vertices, *G.XYZ, *G.NORMAL, *G.RGB).select("object", "vid", *G.XYZ, *G.NORMAL, *G.RGB)
+
+
+def voxel_solver(points: DataFrame, depth: int, scale: float) -> M.Mesh:
+    """A stand-in for an outside solver: the voxel mesh, with the points near a vertex as its density."""
+    mesh = M.Mesh(*(cut(t) for t in V.surface_mesh(points, MESH_SIZE * scale, LEVELS)))
+    places = points.select("point_id", *G.XYZ).unionByName(mesh.vertices.select((-F.col("vid") - 1).alias("point_id"), *G.XYZ))
+    near = N.radius_count(places, MESH_SIZE).where("point_id < 0").select((-F.col("point_id") - 1).alias("vid"), F.col("n_near").cast("double").alias("density"))
+    return M.Mesh(_rounded(mesh.vertices.join(near, "vid"), *G.XYZ), mesh.triangles.select("object", "tid", "v0", "v1", "v2"))
+
+
+def cloud_to_mesh(points: DataFrame) -> DataFrame:
+    """The vertices of a mesh of the whole cloud, by a stand-in solver, cleaned, decimated, smoothed and coloured."""
+    done = surface.reconstruct(_whole(points), RECONSTRUCT, voxel_solver)
+    return _rounded(done.vertices, *G.XYZ, *G.NORMAL, *G.RGB).select("object", "vid", *G.XYZ, *G.NORMAL, *G.RGB)
+
+
+def _same_sign(normals: DataFrame) -> DataFrame:
+    """Normals turned so that their largest component is positive."""
+    most = F.greatest(*(F.abs(c) for c in G.NORMAL))
+    sign = F.when(F.abs("nx") == most, F.signum("nx")).when(F.abs("ny") == most, F.signum("ny")).otherwise(F.signum("nz"))
+    return normals.withColumns({c: F.round(F.col(c) * sign, 4) for c in G.NORMAL})
 
 
 def estimate_normals(points: DataFrame) -> DataFrame:
-    got = surface.estimate_normals(points, 0.2, 20)
-    size = F.sqrt(sum((F.col(c) * F.col(c) for c in G.NORMAL), F.lit(0.0)))
-    return got.select("point_id", F.round(size, DECIMALS).alias("length"))
+    return _same_sign(surface.estimate_normals(points, 0.2, 20)).select("point_id", *G.NORMAL)
+
+
+def orient_normals(points: DataFrame) -> DataFrame:
+    """Normals of each label's points, consistent with their neighbours'."""
+    got = surface.orient_normals(surface.estimate_normals(_objects(points), 0.2, 20), 8)
+    return got.select("point_id", "object", *(F.round(c, 4).alias(c) for c in G.NORMAL))
 
 
 def rotate_views(points: DataFrame) -> DataFrame:
@@ -454,7 +519,8 @@ _OF_CLOUD = (
     detect_split, remove_structure, components, object_numbering, point_numbering, label_compaction, aabb_lineset_vertices, aabb_lineset_edges,
     oriented_boxes, color_labels, byte_colors, select_points, concat_clouds, cloud_bounds, normalize_points, density_quantile, triangle_shape,
     triangle_normals, vertex_normals, mesh_weld, mesh_repair, mesh_reindex, remove_vertices, remove_far_vertices, bad_triangles, long_triangles,
-    mesh_components, small_components, largest_component, taubin_step, combine_meshes, decimate_mesh, clean_mesh, estimate_normals, rotate_views,
+    mesh_components, small_components, largest_component, taubin_step, combine_meshes, decimate_mesh, clean_mesh, estimate_normals, orient_normals,
+    non_manifold, taubin_smooth, refine_mesh, cloud_to_mesh, rotate_views,
     render_pixels, label_prompts, label_scores, top_labels, polygon_area,
 )
 

@@ -299,3 +299,124 @@ def test_components_with_a_hub_of_most_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK_EDGES", 0)
     assert rows() == plain
     assert {c for _, c in plain} == {5, 1000, 2000}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _cloud(spark):
+    from pointloom.plans import queries as Q
+
+    return Q, Q.cloud(spark, SF).cache()
+
+
+def _nearest_axes(places, radius, most):
+    """Least principal axes of the nearest points, plainly."""
+    out = []
+    for p in places:
+        d = ((places - p) ** 2).sum(axis=1)
+        order = np.lexsort((places[:, 2], places[:, 1], places[:, 0], d))
+        near = places[[i for i in order if d[i] <= radius * radius][:most]]
+        if len(near) < 3:
+            out.append(((0.0, 0.0, 1.0), 1.0))
+            continue
+        values, vectors = np.linalg.eigh(np.cov(near.T, bias=True))
+        out.append((vectors[:, 0], (values[1] - values[0]) / values[2]))
+    return out
+
+
+def test_estimated_normals_by_brute_force(spark):
+    Q, points = _cloud(spark)
+    rows = {r.point_id: r for r in points.collect()}
+    ids = sorted(rows)
+    want = _nearest_axes(np.array([[rows[i].x, rows[i].y, rows[i].z] for i in ids]), 0.2, 20)
+    got = {r.point_id: np.array([r.nx, r.ny, r.nz]) for r in Q.estimate_normals(points).collect()}
+    for i, (axis, gap) in zip(ids, want, strict=True):
+        if gap > 1e-3:
+            assert abs(abs(got[i] @ axis) - 1) < 1e-3
+            assert got[i][np.abs(got[i]).argmax()] > 0
+
+
+def test_oriented_normals_keep_their_axes(spark):
+    Q, points = _cloud(spark)
+    plain = {r.point_id: np.array([r.nx, r.ny, r.nz]) for r in Q.estimate_normals(points).collect()}
+    for r in Q.orient_normals(points).collect():
+        assert abs(abs(plain[r.point_id] @ np.array([r.nx, r.ny, r.nz])) - 1) < 1e-2
+
+
+def test_decimation_stays_near_the_surface(spark):
+    Q, points = _cloud(spark)
+    before = Q._welded(points)
+    sizes = {r.object: r["count"] for r in before.triangles.groupBy("object").count().collect()}
+    corners = before.vertices.toPandas()
+    rows = Q.decimate_mesh(points).toPandas()
+    for name, mesh in rows.groupby("object"):
+        assert len(mesh) <= max(100, 1) or sizes[name] <= 100
+        own = corners[corners.object == name][["x", "y", "z"]].to_numpy()
+        for k in range(3):
+            p = mesh[[f"x{k}", f"y{k}", f"z{k}"]].to_numpy()
+            assert np.sqrt(((p[:, None] - own[None]) ** 2).sum(axis=2).min(axis=1)).max() < 1.5 * Q.MESH_SIZE
+        assert (own.min(axis=0) - Q.MESH_SIZE <= mesh[["x0", "y0", "z0"]].to_numpy().min(axis=0)).all()
+    assert len(set(rows.object)) == len(sizes)
+
+
+def test_edges_have_two_triangles_at_most(spark):
+    """By plain rounds: each crowded edge gives up its smallest triangle until none is crowded."""
+    Q, points = _cloud(spark)
+    kept, seen = {(r.object, r.tid) for r in Q.non_manifold(points).collect()}, {}
+    mesh, capture = Q._welded(points), M.remove_non_manifold
+    try:
+        M.remove_non_manifold = lambda m: seen.setdefault("mesh", m)
+        Q.non_manifold(points)
+    finally:
+        M.remove_non_manifold = capture
+    places = {(r.object, r.vid): np.array([r.x, r.y, r.z]) for r in mesh.vertices.collect()}
+    live = {(r.object, r.tid): (r.v0, r.v1, r.v2) for r in seen["mesh"].triangles.collect()}
+    area = {k: np.linalg.norm(np.cross(places[k[0], v[1]] - places[k[0], v[0]], places[k[0], v[2]] - places[k[0], v[0]])) / 2 for k, v in live.items()}
+    start = len(live)
+    while True:
+        edges = {}
+        for (o, t), v in live.items():
+            for a, b in ((0, 1), (1, 2), (2, 0)):
+                edges.setdefault((o, min(v[a], v[b]), max(v[a], v[b])), []).append((round(area[o, t], 12), t))
+        gone = {(e[0], min(ts)[1]) for e, ts in edges.items() if len(ts) > 2}
+        if not gone:
+            break
+        live = {k: v for k, v in live.items() if k not in gone}
+    assert len(live) < start and {k for k in live} == kept
+
+
+def test_smoothing_by_all_steps(spark):
+    Q, points = _cloud(spark)
+    mesh = Q._welded(points.where("label < 2"))
+    places = {(r.object, r.vid): np.array([r.x, r.y, r.z]) for r in mesh.vertices.collect()}
+    links = {k: set() for k in places}
+    for r in mesh.triangles.collect():
+        for a, b in ((r.v0, r.v1), (r.v1, r.v2), (r.v2, r.v0)):
+            links[r.object, a].add((r.object, b))
+            links[r.object, b].add((r.object, a))
+    for _ in range(35):
+        for factor in (0.5, -0.53):
+            new = {}
+            for k, p in places.items():
+                w = {j: 1 / (np.linalg.norm(places[j] - p) + 1e-12) for j in links[k]}
+                new[k] = p + factor * (sum(v * places[j] for j, v in w.items()) / sum(w.values()) - p) if w else p
+            places = new
+    for r in Q.taubin_smooth(points).collect():
+        assert np.allclose(places[r.object, r.vid], [r.x, r.y, r.z], atol=1e-5)
+
+
+def test_refined_and_reconstructed_meshes(spark):
+    """Vertices stay near the cloud, have unit normals, and the colours of the nearest point."""
+    Q, points = _cloud(spark)
+    cloud = points.toPandas()
+    at = cloud[["x", "y", "z"]].to_numpy()
+    for query, far in ((Q.refine_mesh, Q.REFINE.final_far), (Q.cloud_to_mesh, 2 * Q.MESH_SIZE)):
+        got = query(points).toPandas()
+        assert len(got) > 0 and sorted(got.vid) == list(range(len(got))) or query is Q.cloud_to_mesh and len(got) > 0
+        d = np.sqrt(((got[["x", "y", "z"]].to_numpy()[:, None] - at[None]) ** 2).sum(axis=2))
+        assert d.min(axis=1).max() <= far + 1e-6
+        size = np.sqrt((got[["nx", "ny", "nz"]].to_numpy() ** 2).sum(axis=1))
+        assert ((np.abs(size - 1) < 1e-4) | (size == 0)).all()
+        near = cloud[["r", "g", "b"]].to_numpy()[d.argmin(axis=1)]
+        assert np.isclose(near, got[["r", "g", "b"]].to_numpy(), atol=1e-5).all(axis=1).mean() > 0.99
