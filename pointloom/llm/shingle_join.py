@@ -32,7 +32,8 @@ SIMILAR = (4, 5)
 #: both sizes are fixed and change only how many entries are moved, not the result.
 SKETCH_BITS = 20
 TABLE_BITS = 25
-#: How often the nodes of a key are compared with how many of them before what is left apart is compared pair by pair.
+#: How often the nodes of a key, if there are more, are compared with how many of them before what is left apart is
+#: compared pair by pair.
 STAR_ROUNDS, CENTRES = 2, 8
 #: Slots of a set's marks, a power of two, and the columns that hold them.
 MARK_BITS = 256
@@ -227,34 +228,43 @@ def _stars(met: DataFrame, turn: int) -> DataFrame:
 
 
 def _apart(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """The ``entries`` of keys whose rows ``links`` leave in several components, with the ``component``, the row itself without links."""
+    """The ``entries`` of keys whose rows ``links`` leave in several components, with the ``component``, the row itself
+    without links, and ``size``, the entries of the key."""
     known = cut(connected_components(links, "a", "b").withColumnRenamed("node", "row"))
-    met = entries.drop("component").join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    met = entries.drop("component", "size").join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
     spread = met.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_rows"))
-    spread = cut(spread.where("lo < hi").select("key", "n_rows", F.lit(True).alias("apart")))
-    return stored(lookup_join(met, spread, "key", "n_rows", entries.count(), how="inner", nulls=False).drop("apart"))
+    spread = cut(spread.where("lo < hi").select("key", "n_rows", F.col("n_rows").alias("size")))
+    return stored(lookup_join(met, spread, "key", "n_rows", entries.count(), how="inner", nulls=False))
+
+
+def _all_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a key that lie in different components and may be similar."""
+    a, b = (met.select("key", *(F.col(c).alias(c + x) for c in ("row", "n", "i", *MARKS, "component"))) for x in "ab")
+    pairs = a.join(b, F.expr("rowa < rowb and componenta <> componentb") & (a["key"] == b["key"]) & _may_reach())
+    return pairs.select(F.col("rowa").alias("a"), F.col("rowb").alias("b")).distinct()
 
 
 def _links(rows: DataFrame, nodes: DataFrame, shingle_words: int, table_bits: int) -> DataFrame:
     """Links (a, b) that join up all ``nodes`` (row, sim, n, common, prefix) with similar sets.
 
     First come the pairs of multi-index hashing. What they leave apart meets at the keys of
-    its prefixes: all nodes of a key are compared with a few of them, twice, and then only those
-    that are still in different components pair by pair, so that many texts of one pattern
-    do not meet in pairs. Every pair that is compared is compared by whole sets.
+    its prefixes. At a key of few nodes all are compared; at others all are compared with a few of
+    them, twice, and then only those that are still in different components pair by pair, so
+    that many texts of one pattern do not meet in pairs. Every pair that is compared is compared
+    by whole sets.
     """
     tried = cut(_hamming_pairs(nodes).distinct())
     links = cut(_similar(rows, tried, shingle_words))
     met = _apart(_repeated_entries(nodes, table_bits), links)
-    for turn in range(STAR_ROUNDS):
-        stars = cut(_stars(met, turn).join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(stars)
-        links = cut(links.unionByName(_similar(rows, stars, shingle_words)))
-        met = _apart(met, links)
-    a, b = (met.select("key", *(F.col(c).alias(c + x) for c in ("row", "n", "i", *MARKS, "component"))) for x in "ab")
-    rest = a.join(b, F.expr("rowa < rowb and componenta <> componentb") & (a["key"] == b["key"]) & _may_reach())
-    rest = cut(rest.select(F.col("rowa").alias("a"), F.col("rowb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(_similar(rows, rest, shingle_words))
+    many = met.where(F.col("size") > CENTRES)
+    pairs = _all_pairs(met.where(F.col("size") <= CENTRES))
+    for turn in range(STAR_ROUNDS + 1):
+        stars = _stars(many, turn) if turn < STAR_ROUNDS else _all_pairs(many)
+        pairs = cut((stars if turn else pairs.unionByName(stars).distinct()).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = cut(links.unionByName(_similar(rows, pairs, shingle_words)))
+        many = _apart(many, links) if turn < STAR_ROUNDS else many
+    return links
 
 
 def distinct_rows(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, sketch_bits: int = SKETCH_BITS, table_bits: int = TABLE_BITS) -> DataFrame:
