@@ -10,6 +10,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+#: Bytes of a row group of stored tables, which a task holds while it writes.
+_ROW_GROUP = 1 << 24
 #: Files written inside the open ``scratch`` blocks, the innermost last.
 _open: list[list[str]] = []
 
@@ -80,7 +82,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
     folder = f"{ensure_checkpoint_dir(spark)}/{uuid4()}"
     plain = df.withColumns({c: F.col(c).cast("string") for c in void})
-    plain.write.option("compression", "zstd").parquet(folder)
+    plain.write.options(**{"compression": "zstd", "parquet.block.size": _ROW_GROUP}).parquet(folder)
     return spark.read.schema(plain.schema).parquet(folder).withColumns({c: F.lit(None) for c in void}), folder
 
 
