@@ -102,16 +102,20 @@ def dbscan(points: DataFrame, eps: float, min_points: int, by: list[str] | None
     border = marked.where("not core").join(border, "rid").select(*at, "cluster", F.lit(False).alias("core"))
     table = clustered.select(*at, "cluster", F.lit(True).alias("core")).unionByName(border)
     table = table.withColumnsRenamed({f"r{c}": f"l{c}" for c in G.XYZ})
-    if numbered:
-        table = cut(table)
-        order = ranks(table.select("cluster").distinct(), ["cluster"], "label")
-        table = table.join(order.withColumn("label", (F.col("label") - 1).cast("int")), "cluster")
-    out = _at_places(points, table, keys).withColumn("core", F.coalesce("core", F.lit(False)))
-    return out.withColumn("label", F.coalesce("label", F.lit(NOISE))) if numbered else out
+    out = _at_places(points, cut(table), keys).withColumn("core", F.coalesce("core", F.lit(False)))
+    return number_clusters(out) if numbered else out
+
+
+def number_clusters(clustered: DataFrame) -> DataFrame:
+    """Adds ``label``: 0, 1, ... in the order of ``cluster``, -1 where that is null."""
+    order = ranks(clustered.select("cluster").where("cluster is not null").distinct(), ["cluster"], "label")
+    order = order.select(F.col("cluster").alias("__c"), (F.col("label") - 1).cast("int").alias("label"))
+    out = clustered.join(order, F.col("cluster") == F.col("__c"), "left").drop("__c")
+    return out.withColumn("label", F.coalesce("label", F.lit(NOISE)))
 
 
 def largest_fraction(labelled: DataFrame, label: str = "label") -> float:
-    """Share of all points, noise included, in the largest cluster; 1 without clusters or points."""
+    """Share of all points, noise included, in the largest cluster; 1 without clusters or points. Noise is negative or null."""
     sizes = labelled.groupBy(label).agg(F.count("*").alias("n"))
     got = sizes.agg(F.max(F.when(F.col(label) >= 0, F.col("n"))).alias("most"), F.sum("n").alias("all")).first()
     return got.most / got["all"] if got.most else 1.0
@@ -138,10 +142,10 @@ def dbscan_auto(points: DataFrame, p: DbscanAuto) -> tuple[DataFrame, float]:
     if len(radii) > 1:
         places = with_pairs(places, max(radii), [])
     for eps in radii:
-        result, used = cut(dbscan(points, eps, p.min_points, places=places)), eps
-        if largest_fraction(result) <= p.max_fraction:
+        result, used = cut(dbscan(points, eps, p.min_points, numbered=False, places=places)), eps
+        if eps == radii[-1] or largest_fraction(result, "cluster") <= p.max_fraction:
             break
-    return result, used
+    return cut(number_clusters(result)), used
 
 
 def merge_edges(table: DataFrame, distance: float) -> DataFrame:

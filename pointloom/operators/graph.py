@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from pointloom.plans.lineage import cut
 from pointloom.plans.skew import lookup_join
@@ -34,23 +34,30 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return down.unionByName(own).distinct()
 
 
+def _cut_counted(edges: DataFrame) -> tuple[DataFrame, tuple[int, object]]:
+    """``edges`` cut, with their number and a checksum, both observed while they are written."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("checksum")
+    done = cut(edges.observe(seen, F.count("*").alias("n"), checksum))
+    return done, (seen.get["n"], seen.get["checksum"])
+
+
 def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Return (node, component) for every node of ``edges``; component is the least node reachable.
 
     Edges are undirected; self-loops, repeats and nulls are allowed (a null end is
     dropped, a node seen only in a self-loop is its own component). Each round is a
-    handful of shuffles of the edge list; nothing is collected but one checksum.
+    handful of shuffles of the edge list; nothing is collected but a number and a checksum.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
     down = ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     loops = ends.where("u = v").select(F.col("u").alias("node")).distinct()
-    current, before = cut(down), None
-    while True:
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
+    current, state = _cut_counted(down)
+    while state[0]:
         before = state
-        current = cut(_small_star(_large_star(current, state[0]), state[0]))
+        current, state = _cut_counted(_small_star(_large_star(current, state[0]), state[0]))
+        if state == before:
+            break
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     known = current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     alone = loops.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
