@@ -420,3 +420,50 @@ def test_refined_and_reconstructed_meshes(spark):
         assert ((np.abs(size - 1) < 1e-4) | (size == 0)).all()
         near = cloud[["r", "g", "b"]].to_numpy()[d.argmin(axis=1)]
         assert np.isclose(near, got[["r", "g", "b"]].to_numpy(), atol=1e-5).all(axis=1).mean() > 0.99
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-9, 1e9])
+def test_percentiles_over_several_tasks(spark, monkeypatch, spread):
+    """As if groups were too large for one task; one group holds most rows, and most of its values are one."""
+    rng = np.random.default_rng(3)
+    rows = [(0, float(v)) for v in np.where(rng.random(3000) < 0.7, 0.5, rng.normal(0, spread, 3000))]
+    rows += [(1, float(v)) for v in rng.normal(5, 1, 17)] + [(2, 1.25), (3, None), (None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    shares = {"lo": 0.01, "mid": 0.5, "hi": 0.93, "top": 1.0}
+    plain = {r.g: r[1:] for r in S.percentiles(df, "v", shares, ["g"]).collect()}
+    monkeypatch.setattr(S, "TASK_VALUES", 0)
+    monkeypatch.setattr(S, "BINS", 16)
+    spreads = {r.g: r[1:] for r in S.percentiles(df, "v", shares, ["g"]).collect()}
+    assert plain.keys() == spreads.keys() == {0, 1, 2, None}
+    for g, values in plain.items():
+        assert np.allclose(values, spreads[g], rtol=1e-12)
+        assert np.allclose(values, np.quantile([v for k, v in rows if k == g], list(shares.values())), rtol=1e-12)
+    assert S.percentiles(df.where("v > 1e99"), "v", shares).first().mid is None
+
+
+def test_ranks_over_several_tasks(spark, monkeypatch):
+    from pointloom.plans import numbering
+
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "k long")
+    monkeypatch.setattr(numbering, "TASK_ROWS", 0)
+    assert sorted(tuple(r) for r in numbering.ranks(df, ["k"], "nth").collect()) == [(i, i + 1) for i in range(101)]
+
+
+def test_crowded_places_are_those_with_enough_near(spark):
+    """Also where a cell alone has enough points, and where copies count."""
+    rng = np.random.default_rng(4)
+    places = np.concatenate([rng.normal(0, 0.02, (200, 3)), rng.random((200, 3)), np.repeat(rng.random((3, 3)), 6, axis=0)])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "point_id long, x double, y double, z double")
+    for radius, least in ((0.05, 5), (0.1, 12), (0.02, 1)):
+        near = (((places[:, None] - places[None]) ** 2).sum(axis=2) <= radius * radius).sum(axis=1) >= least
+        got = {r.point_id: r.dense for r in N.has_near(points, radius, least).collect()}
+        assert [got[i] for i in range(len(places))] == near.tolist()
+
+
+def test_clusters_do_not_depend_on_stored_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.random((300, 3)))], "point_id long, x double, y double, z double")
+    labels = lambda: sorted((r.point_id, r.core, r.label) for r in C.dbscan_auto(points, params.DbscanAuto(0.16, 6, 0.2, 0.9, 2, 0.1))[0].collect())
+    plain = labels()
+    monkeypatch.setattr(C, "with_pairs", lambda places, radius, keys: places)
+    assert labels() == plain
