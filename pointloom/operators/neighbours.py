@@ -110,14 +110,64 @@ def remove_near(points: DataFrame, target: DataFrame, radius: float) -> DataFram
     return near.where("__d is null").drop("__d")
 
 
+#: Rings that ``nearest`` searches before it descends a pyramid of cells for the places that are left.
+RINGS = 3
+#: Cells of the top of the pyramid, at most; each place that is left is held against all of them.
+TOP_CELLS = 64
+
+
+def _gap2(far: bool) -> Column:
+    """The least (``far``: greatest) squared distance of a place l* to the box lo*, hi* of a cell."""
+    out = F.lit(0.0)
+    for c in G.XYZ:
+        below, above = F.col(f"lo{c}") - F.col(f"l{c}"), F.col(f"l{c}") - F.col(f"hi{c}")
+        step = F.greatest(F.abs(below), F.abs(above)) if far else F.greatest(below, above, F.lit(0.0))
+        out = out + step * step
+    return out
+
+
+def _levels(goal: DataFrame, size: float) -> list[DataFrame]:
+    """Occupied cells with the boxes of their places, finest first; each level has half as many cells to a side."""
+    ends = lambda low, high: [f(x).alias(a + c) for c in G.XYZ for f, x, a in ((F.min, low + c, "lo"), (F.max, high + c, "hi"))]
+    cells = [F.floor(F.col(f"r{c}") / F.lit(size)).alias(k) for c, k in zip(G.XYZ, _CELL, strict=True)]
+    out = [cut(goal.groupBy(*cells).agg(*ends("r", "r")))]
+    while out[-1].count() > TOP_CELLS:
+        upper = [F.shiftright(k, 1).alias(k) for k in _CELL]
+        out.append(cut(out[-1].groupBy(*upper).agg(*ends("lo", "hi"))))
+    return out
+
+
+def _descended(places: DataFrame, goal: DataFrame, size: float) -> DataFrame:
+    """The nearest of ``goal`` to places l* that may be far from all of it, as ``nearest`` finds it.
+
+    From the top of a pyramid of occupied cells down, a place keeps the cells that may be nearer
+    than the farthest point of some cell, so it meets the targets of few cells, not all.
+    """
+    at, box = [f"l{c}" for c in G.XYZ], [f"{a}{c}" for c in G.XYZ for a in ("lo", "hi")]
+    levels = _levels(goal, size)
+    top = [r.asDict() for r in levels[-1].collect()]  # at most TOP_CELLS rows
+    cells = F.array(*(F.struct(*(F.lit(r[k]).alias(k) for k in (*_CELL, *box))) for r in top))
+    open_ = places.select(*at, F.explode(cells).alias("c")).select(*at, "c.*")
+    for level in [None, *levels[-2::-1]]:
+        if level is not None:
+            inside = level.groupBy(*(F.shiftright(k, 1).alias(f"__p{k}") for k in _CELL)).agg(F.collect_list(F.struct(*_CELL, *box)).alias("c"))
+            on = [F.col(k) == F.col(f"__p{k}") for k in _CELL]
+            open_ = open_.join(inside, on[0] & on[1] & on[2]).select(*at, F.explode("c").alias("c")).select(*at, "c.*")
+        bound = open_.groupBy(*at).agg(F.min(_gap2(True)).alias("__most"))
+        open_ = cut(open_.join(bound, at).where(_gap2(False) <= F.col("__most") * (1 + 1e-12)).drop("__most"))
+    targets = goal.withColumns({k: F.floor(F.col(f"r{c}") / F.lit(size)) for c, k in zip(G.XYZ, _CELL, strict=True)})
+    met = open_.select(*at, *_CELL).join(targets, list(_CELL))
+    d2 = G.squared_distance(G.columns(G.XYZ, "l"), G.columns(G.XYZ, "r"))
+    return met.groupBy(*at).agg(F.min(F.struct(d2.alias("d2"), "__v")).alias("__b"))
+
+
 def nearest(points: DataFrame, target: DataFrame, values: Sequence[str] = (), key: str = "point_id", first_radius: float | None = None) -> DataFrame:
     """Adds ``distance`` to the nearest target point and its ``values``; among equally near ones the least ``key``.
 
-    Rings are searched outwards: a place is done once its nearest candidate lies within
-    the radius of its ring, the rest goes on with twice the radius. The first radius
-    follows from the target's density. A place so meets, in its last ring, the targets
-    within a few times its distance; only places far from all targets meet many. Null
-    everywhere if the target is empty.
+    A few rings are searched outwards: a place is done once its nearest candidate lies within
+    the radius of its ring, the rest goes on with twice the radius. The first radius follows from
+    the target's density. Places that are left are far from all targets and descend a pyramid of
+    cells instead. Null everywhere if the target is empty.
     """
     spots = cut(points.select(*(F.col(c).alias(f"l{c}") for c in G.XYZ)).dropna().distinct())
     best = F.min(F.struct(key, *values)).alias("__v")
@@ -126,22 +176,20 @@ def nearest(points: DataFrame, target: DataFrame, values: Sequence[str] = (), ke
     if not bounds.n:
         nothing = [F.lit(None).cast(target.schema[v].dataType).alias(v) for v in values]
         return points.select("*", F.lit(None).cast("double").alias("distance"), *nothing)
-    reach = spots.agg(*(f(f"l{c}").alias(f"{a}{c}") for c in G.XYZ for f, a in ((F.min, "lo"), (F.max, "hi")))).first()
-    spans = [max(bounds[f"hi{c}"], reach[f"hi{c}"] or 0.0) - min(bounds[f"lo{c}"], reach[f"lo{c}"] or 0.0) for c in G.XYZ]
-    far = 1.001 * math.sqrt(sum(s * s for s in spans)) + 1e-9
-    radius = first_radius or max(far / max(bounds.n ** (1 / 3), 1.0), 1e-9)
+    reach = 1.001 * math.sqrt(sum((bounds[f"hi{c}"] - bounds[f"lo{c}"]) ** 2 for c in G.XYZ)) + 1e-9
+    radius = first_radius or max(reach / max(bounds.n ** (1 / 3), 1.0), 1e-9)
     done: list[DataFrame] = []
-    open_ = spots
-    while True:
+    open_, size = spots, radius
+    for _ in range(RINGS):
         pairs = near_places(open_, goal, radius)
         found = cut(pairs.groupBy("lx", "ly", "lz").agg(F.min(F.struct("d2", "__v")).alias("__b")))
         done.append(found)
-        if radius >= far:
-            break
         open_ = cut(open_.join(found, ["lx", "ly", "lz"], "left_anti"))
         if not open_.limit(1).count():
             break
         radius *= 2
+    else:
+        done.append(_descended(open_, goal, size))
     table = done[0]
     for d in done[1:]:
         table = table.unionByName(d)

@@ -467,3 +467,19 @@ def test_clusters_do_not_depend_on_stored_pairs(spark, monkeypatch):
     plain = labels()
     monkeypatch.setattr(C, "with_pairs", lambda places, radius, keys: places)
     assert labels() == plain
+
+
+@pytest.mark.parametrize("top", [64, 1])
+def test_nearest_down_the_pyramid(spark, monkeypatch, top):
+    """As if no ring had found anything: places inside, near and far, among clustered targets, ties included."""
+    rng = np.random.default_rng(12)
+    goal = np.concatenate([rng.normal(0, 0.1, (300, 3)), rng.normal(5, 0.5, (100, 3)), [[-3.0, 0.0, 0.0], [3.0, 0.0, 0.0]]])
+    places = np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(0, 60, (40, 3)), goal[:5], [[0.0, 500.0, 0.0]]])
+    frame = lambda rows, first: spark.createDataFrame([(first + i, *map(float, p)) for i, p in enumerate(rows)], "point_id long, x double, y double, z double")
+    monkeypatch.setattr(N, "RINGS", 0)
+    monkeypatch.setattr(N, "TOP_CELLS", max(top, 8))
+    target = frame(goal, 1000).withColumn("name", F.col("point_id"))
+    d = np.sqrt(((places[:, None] - goal[None]) ** 2).sum(axis=2))
+    for r in N.nearest(frame(places, 0), target, ["name"]).collect():
+        assert r.distance == pytest.approx(d[r.point_id].min(), rel=1e-9, abs=1e-12)
+        assert d[r.point_id, r.name - 1000] == pytest.approx(d[r.point_id].min(), rel=1e-9, abs=1e-12)
