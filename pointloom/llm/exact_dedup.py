@@ -9,13 +9,14 @@ fingerprints of two chunks combine to that of their concatenation:
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pointloom.llm.common import SPACE_BYTES, map_arrow, texts
+from pointloom.llm.common import SPACE_BYTES, map_arrow, sliced, texts
 from pointloom.plans.lineage import cut
 from pointloom.plans.skew import lookup_join
 
@@ -99,8 +100,15 @@ def _huge_fingerprints(docs: DataFrame, huge_chars: int, chunk_chars: int, modul
 
     size = F.char_length("text")
     huge = texts(docs).where(size > huge_chars).select(F.sha2("text", 256).alias("t"), "text").dropDuplicates(["t"])
-    starts = F.posexplode(F.sequence(F.lit(1), size, F.lit(chunk_chars))).alias("no", "start")
-    dealt = huge.select("t", "text", starts).select("t", "no", F.substring("text", F.col("start"), F.lit(chunk_chars)).alias("x"))
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text in one pass, without a copy of the whole beside each chunk."""
+        for batch in sliced(batches, 1):
+            t, text = batch.column(0), batch.column(1)[0].as_py()
+            for no, i in enumerate(range(0, len(text), chunk_chars)):
+                yield pa.RecordBatch.from_arrays([t, pa.array([no], pa.int32()), pa.array([text[i : i + chunk_chars]])], names=["t", "no", "x"])
+
+    dealt = huge.mapInArrow(cut_up, "t string, no int, x string")
     hashed = map_arrow(dealt.repartition("t", "no"), "t string, no int, part binary", make)
     ordered = hashed.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("no", "part"))).alias("s"))
     return map_arrow(ordered.select("t", F.col("s.part")), "t string, huge_fp binary", make_fold)
