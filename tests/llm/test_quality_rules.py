@@ -90,3 +90,19 @@ def test_good_documents_stay(spark, small):
 
 def test_empty_table(no_docs):
     assert Q.op9(no_docs).count() == 0 and Q.filter_documents(no_docs).count() == 0
+
+
+def test_noise_of_every_length_is_rejected_and_prose_is_kept(spark):
+    """Random base64 in words, and labelled clean texts."""
+    import string
+
+    rng, rules = random.Random(1), Q.CompressionBands()
+    letters = string.ascii_letters + string.digits + "+/"
+    for size in (220, 300, 400, 600, 900, 1200, 1700, 3000, 6000, 20_000):
+        for _ in range(20):
+            words = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 10))) for _ in range(size // 5))[:size]
+            assert not rules.judge(words.encode())[3], size
+    sf = "/root/testdata/sf0.1"
+    clean = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    judged = [(r.base_failed, r.kept) for r in Q.judge(clean).collect()]
+    assert sum(kept for failed, kept in judged if not failed) >= 0.998 * sum(not failed for failed, _ in judged)
