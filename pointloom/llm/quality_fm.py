@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointloom.llm.common import SPACE_BYTES, crc_mod, map_arrow, table
+from pointloom.llm.common import SPACE_BYTES, crc_mod, map_arrow, table, texts
 
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 3, 1
 #: The model is fitted on at most so many labelled rows, those with the least hash of their id.
@@ -158,7 +158,8 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
+    n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return texts(docs, n_chars.cast("long").alias("n_chars"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
@@ -193,7 +194,8 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Only the text and its recorded length are read. A null text counts as empty and is
-    scored by its structure; a null id is never held out unless its empty text form is.
+    scored by its structure, as is the length where it is null or the table has none; a null id is
+    never held out unless its empty text form is.
     Repeated rows score alike; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)

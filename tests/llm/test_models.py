@@ -54,6 +54,55 @@ def test_quality_edge_cases(spark, edge_docs, no_docs):
     assert Q.score(edge_docs, Q.train(edge_docs, labels.limit(0))).count() == edge_docs.count()
 
 
+def test_quality_scores_by_brute_force(spark, small):
+    """Every score of the query from its own machine: words hashed one by one, all pairs of features multiplied out."""
+    from xxhash import xxh32_intdigest
+
+    sf = "/root/testdata/sf0.01"
+    m = Q.train(small, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in Q.op2(spark, sf).collect()}
+    assert len(got) == small.count()
+    for r in small.where("doc_id % 9 = 0").collect():
+        words = (r.text or "").lower().split()
+        counts = Counter(xxh32_intdigest(w, 7) % Q.WORD_FEATURES for w in words)
+        damped = {k: math.log1p(v) for k, v in counts.items()}
+        size = max(math.sqrt(sum(v * v for v in damped.values())), 1e-9)
+        x = {k: v / size for k, v in damped.items()}
+        shape = Q.structure((r.text or "").encode(), words, r.n_chars)
+        x |= {Q.WORD_FEATURES + i: min(max((s - m.mean[i]) / m.scale[i], -4), 4) for i, s in enumerate(shape)}
+        at, values = list(x), np.array(list(x.values()))
+        products = (m.factors[at] @ m.factors[at].T) * np.outer(values, values)
+        z = m.bias + m.weights[at] @ values + np.triu(products, 1).sum()
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-min(max(z, -30), 30))), abs=1e-5)
+        assert got[r.doc_id].held_out == held(r.doc_id, 3, 1) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+
+
+def test_quality_without_recorded_lengths(spark, edge_docs):
+    got = Q.score(edge_docs.drop("n_chars"), Q._untrained()).collect()
+    assert len(got) == edge_docs.count()
+
+
+def test_toxicity_scores_by_brute_force(spark, small):
+    """Every score of the query from its own chain: features of each word by their strings, category after category."""
+    from xxhash import xxh32_intdigest
+
+    sf = "/root/testdata/sf0.01"
+    chain = T.train(small, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in T.op6(spark, sf).collect()}
+    assert len(got) == small.count()
+    for r in small.where("doc_id % 9 = 0").collect():
+        seen = Counter()
+        for word in {w.strip(T._EDGES) for w in (r.text or "").lower().split()} - {""}:
+            keys = ["w" + word] + [f"{k}{word[:k]}" for k in T.BEGINNINGS if len(word) > k]
+            seen.update(xxh32_intdigest(k, 11) % T.HASHES for k in keys)
+        found = set(seen) | {h + T.HASHES for h, n in seen.items() if n > 1}
+        p = []
+        for k in range(len(chain.biases)):
+            z = chain.biases[k] + sum(chain.weights[k, c] for h, c in chain.columns.items() if h in found) + sum(chain.earlier[k, j] * p[j] for j in range(k))
+            p.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
+        assert got[r.doc_id].score == pytest.approx(p[-1], abs=1e-9) and got[r.doc_id].toxic == (p[-1] >= 0.5)
+
+
 def test_toxicity_of_held_out_rows(spark):
     got = T.op6(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").withColumnRenamed("toxic", "y"), "doc_id").where("held_out").toPandas()
     assert got[got.y == 1].toxic.mean() > 0.85
