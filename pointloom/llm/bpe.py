@@ -96,6 +96,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
+        step.close = c.cache.clear
         return step
 
     return map_arrow(texts(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
@@ -123,6 +124,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 "decoded_sha256": [hashlib.sha256(c.decode(i).encode()).hexdigest() for i in ids],
             }
 
+        step.close = c.cache.clear
         return step
 
     schema = "doc_id long, lang string, source string, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"

@@ -48,12 +48,23 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(i, rows)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as the Python worker goes on to other tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Map Arrow batches, ``slice_rows`` rows at a time, to columns named as in ``schema``.
 
     ``make`` runs once a task and returns the function of a batch, which returns a
     dict of equally long lists or arrays. What it builds lives as long as the task, unless
-    it takes it from a cache of the Python worker's process.
+    it takes it from a cache of the Python worker's process; ``close``, if the function has
+    such an attribute, is called at the end.
     """
     out = T.StructType.fromDDL(schema)
 
@@ -65,5 +76,8 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
         for batch in sliced(batches, slice_rows):
             columns = step(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+            del columns
+        getattr(step, "close", release)()
+        release()
 
     return df.mapInArrow(run, out)

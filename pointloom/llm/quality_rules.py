@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pointloom.llm.common import SPACE_BYTES, map_arrow, sliced, small_batches, texts
+from pointloom.llm.common import SPACE_BYTES, map_arrow, release, sliced, small_batches, texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 8
@@ -163,6 +163,7 @@ def filter_documents(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_byt
         for batch in sliced(batches):
             verdicts = [_judged(rules, t or "")[6] for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(verdicts, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

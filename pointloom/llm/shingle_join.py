@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pointloom.llm.common import LOWER, UPPER, map_arrow, sliced, texts
+from pointloom.llm.common import LOWER, UPPER, map_arrow, release, sliced, texts
 from pointloom.llm.simhash import CROWDED, MAX_DISTANCE, SEGMENTS, as_long, hamming_links, simhash
 from pointloom.operators.graph import connected_components
 from pointloom.plans.lineage import cut, stored
@@ -30,7 +30,7 @@ SHINGLE_WORDS = 5
 SIMILAR = (4, 5)
 #: Slots of the sketch of shingle counts, and of the table of shingles that several texts have, as powers of two;
 #: both sizes are fixed and change only how many entries are moved, not the result.
-SKETCH_BITS = 20
+SKETCH_BITS = 23
 TABLE_BITS = 25
 #: How often the nodes of a key, if there are more, are compared with how many of them before what is left apart is
 #: compared pair by pair.
@@ -61,24 +61,26 @@ def shingles(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def _sketch(rows: DataFrame, shingle_words: int, bits: int) -> np.ndarray:
-    """About how many texts have a shingle, by the first ``bits`` bits of its hash; 4 MB come to the driver."""
+    """About how many texts (up to 65,535 of a slot) have a shingle, by the first ``bits`` bits of its hash; two bytes a slot come to the driver."""
     import zstandard
 
     parts, size = 64, 1 << bits
 
     def packed(x: np.ndarray) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(np.minimum(x, 2**31 - 1).astype("<i4").tobytes())
+        return zstandard.ZstdCompressor(level=1).compress(np.minimum(x, 2**16 - 1).astype("<u2").tobytes())
 
     def unpacked(raw: bytes) -> np.ndarray:
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<i4").astype(np.int64)
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u2").astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, np.int64)
+        seen = np.zeros(size, np.int32)
         for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(seen, (shingles(text, shingle_words) >> np.uint64(64 - bits)).astype(np.int64), 1)
         if seen.any():
             pieces = [packed(x) for x in seen.reshape(parts, -1)]
+            del seen
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(pieces)], names=["part", "seen"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def _sketch(rows: DataFrame, shingle_words: int, bits: int) -> np.ndarray:
 
     schema = "part int, seen binary"
     got = rows.select("text").mapInArrow(run, schema).repartition("part").mapInArrow(add, schema).collect()
-    out = np.zeros((parts, size // parts), np.int32)
+    out = np.zeros((parts, size // parts), np.uint16)
     for r in got:
         out[r.part] = unpacked(r.seen)
     return out.ravel()
@@ -260,7 +262,7 @@ def _links(rows: DataFrame, nodes: DataFrame, shingle_words: int, table_bits: in
     pairs = _all_pairs(met.where(F.col("size") <= CENTRES))
     for turn in range(STAR_ROUNDS + 1):
         stars = _stars(many, turn) if turn < STAR_ROUNDS else _all_pairs(many)
-        pairs = cut((stars if turn else pairs.unionByName(stars).distinct()).join(tried, ["a", "b"], "left_anti"))
+        pairs = cut((stars if turn else pairs.unionByName(stars).distinct()).join(tried.hint("merge"), ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = cut(links.unionByName(_similar(rows, pairs, shingle_words)))
         many = _apart(many, links) if turn < STAR_ROUNDS else many
