@@ -17,7 +17,7 @@ MIN_DOCUMENTS = 3
 #: Frequent hashes are sought in so many groups, with a sketch of so many items each, which
 #: cannot miss one that holds over a 2000th of all lines.
 SKETCH_GROUPS, SKETCH_ITEMS, SKETCH_TOP = 64, 256, 64
-HOT_SHARE = 2000
+HOT_SHARE = _SKETCH_SHARE = 2000
 #: With more partitions than that, hashes that hold over one partition's share are sought, up to this many.
 MOST_HOT_SHARE = 100_000
 
@@ -45,8 +45,10 @@ def _hot(lines: DataFrame) -> DataFrame:
     not the result. Tasks send sketches of a fixed size; there are as many groups of them as it
     takes for one to find every key above the limit.
     """
-    share = min(max(HOT_SHARE, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_HOT_SHARE)
-    groups = SKETCH_GROUPS * -(-share // HOT_SHARE)
+    share = HOT_SHARE
+    if HOT_SHARE:  # 0: no hash is hot
+        share = min(max(HOT_SHARE, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_HOT_SHARE)
+    groups = SKETCH_GROUPS * max(1, -(-share // _SKETCH_SHARE))
     top = F.expr(f"approx_top_k(h1, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top")
     sketches = lines.groupBy(F.pmod("h1", F.lit(groups)).alias("g")).agg(top)
     found = sketches.select(F.explode("top").alias("hot")).where(F.col("hot.item").isNotNull())

@@ -12,7 +12,7 @@ a sketch of how often shingles occur, rare ones first, so few texts meet at one.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -145,11 +145,11 @@ def _enough(overlap: Column) -> Column:
     return overlap * (SIMILAR[0] + SIMILAR[1]) >= (F.col("na") + F.col("nb")) * SIMILAR[0]
 
 
-def _may_reach() -> Column:
-    """Whether ``na`` and ``nb`` shingles, of which the ia-th and ib-th are the first in common, can be similar by that and by their marks."""
-    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    differ = sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in MARKS), F.lit(0))
-    return _enough(rest) & (differ * (SIMILAR[0] + SIMILAR[1]) <= (F.col("na") + F.col("nb")) * (SIMILAR[1] - SIMILAR[0]))
+def _may_reach(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether the sets of two entries, given by their columns, can be similar if they meet at the first shingle they share, and by their marks."""
+    n, rest = a("n") + b("n"), F.least(a("n") - a("i"), b("n") - b("i"))
+    differ = sum((F.bit_count(a(m).bitwiseXOR(b(m))) for m in MARKS), F.lit(0))
+    return (rest * (SIMILAR[0] + SIMILAR[1]) >= n * SIMILAR[0]) & (differ * (SIMILAR[0] + SIMILAR[1]) <= n * (SIMILAR[1] - SIMILAR[0]))
 
 
 def _similar(rows: DataFrame, pairs: DataFrame, shingle_words: int) -> DataFrame:
@@ -224,9 +224,9 @@ def _stars(met: DataFrame, turn: int) -> DataFrame:
     centres = met.groupBy("key").agg(F.array(*(F.min(F.struct(f.alias("by"), *node)) for f in firsts)).alias("c"), F.count("*").alias("n_rows"))
     centres = cut(centres.withColumn("c", F.array_distinct(F.transform("c", lambda c: F.struct(*(c[x].alias(x) for x in node))))))
     pairs = lookup_join(met, centres, "key", "n_rows", met.count(), how="inner", nulls=False)
-    pairs = pairs.select(*node, F.explode(F.filter("c", lambda c: c["component"] != F.col("component"))).alias("c"))
-    pairs = pairs.select(*(F.col(f"c.{x}").alias(f"{x}a") for x in node), *(F.col(x).alias(f"{x}b") for x in node)).where(_may_reach())
-    return pairs.select(F.least("rowa", "rowb").alias("a"), F.greatest("rowa", "rowb").alias("b")).distinct()
+    near = F.filter("c", lambda c: (c["component"] != F.col("component")) & _may_reach(lambda x: c[x], F.col))
+    pairs = pairs.select("row", F.explode(near).alias("c"))
+    return pairs.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b")).distinct()
 
 
 def _apart(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def _apart(entries: DataFrame, links: DataFrame) -> DataFrame:
 def _all_pairs(met: DataFrame) -> DataFrame:
     """(a, b): all pairs of a key that lie in different components and may be similar."""
     a, b = (met.select("key", *(F.col(c).alias(c + x) for c in ("row", "n", "i", *MARKS, "component"))) for x in "ab")
-    pairs = a.join(b, F.expr("rowa < rowb and componenta <> componentb") & (a["key"] == b["key"]) & _may_reach())
+    pairs = a.join(b, F.expr("rowa < rowb and componenta <> componentb") & (a["key"] == b["key"]) & _may_reach(lambda c: F.col(c + "a"), lambda c: F.col(c + "b")))
     return pairs.select(F.col("rowa").alias("a"), F.col("rowb").alias("b")).distinct()
 
 
