@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pointloom.functions import geometry as G
 from pointloom.operators.mesh import Mesh, bad_triangles, clean, crop_mesh, remove_far_vertices, remove_low_density, remove_small_components, remove_triangles, settled, taubin, vertex_normals
-from pointloom.operators.neighbours import _at_places, _places, near_places, transfer_colours
+from pointloom.operators.neighbours import _at_places, over_nearest, transfer_colours
 from pointloom.plans.lineage import cut
 from pointloom.plans.params import Reconstruct
 
@@ -26,13 +26,10 @@ def estimate_normals(points: DataFrame, radius: float, most: int) -> DataFrame:
     Moments of the neighbours are aggregated; only 3 x 3 matrices reach Python. Fewer
     than three neighbours give (0, 0, 1). The sign is not defined: see ``orient_normals``.
     """
-    spots = _places(points, "r", (), F.count("*").alias("n"))
-    left = spots.select(*(F.col(f"r{c}").alias(f"l{c}") for c in G.XYZ))
-    ranked = near_places(left, spots, radius).withColumn("__k", F.row_number().over(Window.partitionBy("lx", "ly", "lz").orderBy("d2", "rx", "ry", "rz")))
-    near = ranked.where(F.col("__k") <= most)
+    spots = cut(points.select(*(F.col(c).alias(f"r{c}") for c in G.XYZ)).dropna().distinct())
     d = {c: F.col(f"r{c}") - F.col(f"l{c}") for c in G.XYZ}
     pairs = [(a, b) for i, a in enumerate(G.XYZ) for b in G.XYZ[i:]]
-    sums = near.groupBy("lx", "ly", "lz").agg(F.count("*").alias("n"), *(F.avg(d[c]).alias(c) for c in G.XYZ), *(F.avg(d[a] * d[b]).alias(a + b) for a, b in pairs))
+    sums = over_nearest(spots, most, radius, *(F.avg(d[c]).alias(c) for c in G.XYZ), *(F.avg(d[a] * d[b]).alias(a + b) for a, b in pairs))
 
     @F.pandas_udf("struct<nx:double,ny:double,nz:double>")
     def axis(n: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series, xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:

@@ -337,6 +337,35 @@ def test_estimated_normals_by_brute_force(spark):
             assert got[i][np.abs(got[i]).argmax()] > 0
 
 
+def test_normals_of_a_dense_cloud_without_all_its_pairs(spark, monkeypatch):
+    """A dense ball, points around it, far ones and copies: nearest places are exact, and few pairs are made."""
+    rng = np.random.default_rng(17)
+    at = np.concatenate([rng.normal(0, 0.002, (1500, 3)), rng.normal(0, 0.15, (500, 3)), [(3, 3, 3), (3.1, 3, 3), (-9, 0, 0)]])
+    at = np.concatenate([at, at[:40], at[:40]])
+    pairs, near_places = [], N.near_places
+
+    def counted(*args, **named):
+        pairs.append(near_places(*args, **named).count())
+        return near_places(*args, **named)
+
+    for module in (N, surface):
+        monkeypatch.setattr(module, "near_places", counted, raising=False)
+    got = surface.estimate_normals(cloud(spark, at), 0.2, 20).orderBy("point_id").toPandas()[["nx", "ny", "nz"]].to_numpy()
+    assert sum(pairs) < 200 * len(at)
+    places = np.unique(at, axis=0)
+    for p, n in zip(at[::7], got[::7], strict=True):
+        d = ((places - p) ** 2).sum(axis=1)
+        near = places[np.argsort(d, kind="stable")[:20]]
+        near = near[((near - p) ** 2).sum(axis=1) <= 0.2 * 0.2]
+        if len(near) < 3:
+            assert tuple(n) == (0, 0, 1)
+            continue
+        values, axes = np.linalg.eigh(np.cov(near.T, bias=True))
+        if values[1] - values[0] > 0.02 * values[2]:
+            assert abs(abs(axes[:, 0] @ n) - 1) < 1e-6
+    assert surface.estimate_normals(cloud(spark, at).limit(0), 0.2, 20).count() == 0
+
+
 def test_oriented_normals_keep_their_axes(spark):
     Q, points = _cloud(spark)
     plain = {r.point_id: np.array([r.nx, r.ny, r.nz]) for r in Q.estimate_normals(points).collect()}
