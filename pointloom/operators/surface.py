@@ -44,16 +44,75 @@ def estimate_normals(points: DataFrame, radius: float, most: int) -> DataFrame:
     return _at_places(points.drop(*G.NORMAL), table)
 
 
+#: Points of a leaf of the tree that the nearest neighbours within an object are searched in.
+_LEAF = 64
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)))
+    for i in range(3):
+        step = a[:, i, None] - b[None, :, i]
+        out += step * step
+    return out
+
+
+def _near(points: np.ndarray, k: int) -> np.ndarray:
+    """The second to the (k + 1)-th nearest of each point by distance, then position: its k neighbours, as the first is itself or a copy.
+
+    Leaves of a tree of boxes meet only leaves that are near enough to hold a neighbour. Of copies only
+    the first k + 1 can be among the nearest, and all have the same ones.
+    """
+    n = len(points)
+    _, heads, place = np.unique(points, axis=0, return_index=True, return_inverse=True)
+    place = place.ravel()
+    order = np.argsort(place, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n) - np.searchsorted(place[order], place[order])
+    leaves, stack = [], [np.flatnonzero(rank <= k)]
+    while stack:
+        own = stack.pop()
+        if len(own) <= _LEAF:
+            leaves.append(own)
+            continue
+        axis = int(np.ptp(points[own], axis=0).argmax())
+        own = own[np.argpartition(points[own, axis], len(own) // 2)]
+        stack += [own[: len(own) // 2], own[len(own) // 2 :]]
+    low, high = (np.array([f(points[x], axis=0) for x in leaves]) for f in (np.min, np.max))
+    sizes = np.array([len(x) for x in leaves])
+    out = np.empty((n, k), dtype=np.int64)
+    for at, own in enumerate(leaves):
+        asked = own[rank[own] == 0]
+        if not len(asked):
+            continue
+        gap = np.maximum(np.maximum(low - high[at], low[at] - high), 0.0)
+        gap = (gap * gap).sum(axis=1)
+        first = np.argsort(gap, kind="stable")
+        first = first[: int(np.searchsorted(np.cumsum(sizes[first]), k + 1)) + 1]
+        d = _squared(points[asked], points[np.concatenate([leaves[x] for x in first])])
+        bound = np.partition(d, k, axis=1)[:, k].max() * (1 + 1e-9)
+        met = np.sort(np.concatenate([leaves[x] for x in np.flatnonzero(gap <= bound)]))
+        d = _squared(points[asked], points[met])
+        row, column = np.nonzero(d <= np.partition(d, k, axis=1)[:, k, None])
+        by = np.lexsort((column, d[row, column], row))
+        row, column = row[by], column[by]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = (nth >= 1) & (nth <= k)
+        out[asked] = met[column[kept]].reshape(-1, k)
+    return out[heads[place]]
+
+
 def _orient(points: np.ndarray, normals: np.ndarray, k: int) -> np.ndarray:
     """Walks a minimum spanning tree of the k-nearest graph, from the highest point, flipping against the parent."""
+    whole = np.isfinite(points).all(axis=1) & np.isfinite(normals).all(axis=1)
+    if not whole.all():  # points without a place or a normal stay as they are
+        out = normals.copy()
+        out[whole] = _orient(points[whole], normals[whole], k)
+        return out
     n = len(points)
     k = min(k, n - 1)
     if k < 3:
         return normals
-    near = np.empty((n, k), dtype=np.int64)
-    for i in range(0, n, 512):
-        d = ((points[i : i + 512, None] - points[None]) ** 2).sum(axis=2)
-        near[i : i + 512] = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]
+    near = _near(points, k)
     links: list[list[int]] = [[] for _ in range(n)]
     for i in range(n):
         for j in near[i]:

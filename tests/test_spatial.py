@@ -366,6 +366,35 @@ def test_normals_of_a_dense_cloud_without_all_its_pairs(spark, monkeypatch):
     assert surface.estimate_normals(cloud(spark, at).limit(0), 0.2, 20).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["spread", "grid", "copies"])
+def test_neighbours_of_an_object_are_brute_force(monkeypatch, kind):
+    """Ties go by position, a place of many copies counts as its points do, and few distances are taken."""
+    rng = np.random.default_rng(18)
+    at = {"spread": rng.normal(0, 1, (3000, 3)), "grid": rng.integers(0, 7, (2000, 3)).astype(float), "copies": np.concatenate([np.zeros((900, 3)), rng.normal(0, 1, (900, 3))])}[kind]
+    taken, squared = [], surface._squared
+    monkeypatch.setattr(surface, "_squared", lambda a, b: taken.append(len(a) * len(b)) or squared(a, b))
+    got = surface._near(at, 8)
+    assert sum(taken) < 0.7 * len(at) ** 2
+    assert (got == np.argsort(((at[:, None] - at[None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, 1:9]).all()
+
+
+def test_solver_counts_near_its_vertices_only(spark, monkeypatch):
+    Q, points = _cloud(spark)
+    pairs, near_places = [], N.near_places
+
+    def counted(*args, **named):
+        pairs.append(near_places(*args, **named).count())
+        return near_places(*args, **named)
+
+    monkeypatch.setattr(N, "near_places", counted)
+    got = Q.voxel_solver(Q._whole(points), 0, 1.0).vertices.toPandas()
+    at = np.concatenate([points.toPandas()[["x", "y", "z"]].to_numpy(), got[["x", "y", "z"]].to_numpy()])
+    assert sum(pairs) <= len(got.drop_duplicates(["x", "y", "z"])) * len(at)
+    d2 = ((got[["x", "y", "z"]].to_numpy()[:, None] - at[None]) ** 2).sum(axis=2)
+    lo, hi = ((d2 <= (Q.MESH_SIZE + s) ** 2).sum(axis=1) for s in (-1e-5, 1e-5))
+    assert ((lo <= got.density) & (got.density <= hi)).all()
+
+
 def test_oriented_normals_keep_their_axes(spark):
     Q, points = _cloud(spark)
     plain = {r.point_id: np.array([r.nx, r.ny, r.nz]) for r in Q.estimate_normals(points).collect()}
