@@ -247,7 +247,7 @@ def reconstruct(points: DataFrame, p: Reconstruct, solver: Callable[[DataFrame,
     """
     ends = points.agg(F.count("*").alias("n"), *(f(c) for f in (F.min, F.max) for c in G.XYZ)).first()
     enough = points.where(F.lit(ends.n >= p.min_points))
-    with_normals = orient_normals(estimate_normals(enough, p.normal_radius, p.normal_neighbours), p.orient_neighbours)
+    with_normals = cut(orient_normals(estimate_normals(enough, p.normal_radius, p.normal_neighbours), p.orient_neighbours))
     mesh = settled(remove_low_density(settled(solver(with_normals, p.depth, p.scale)), p.density_quantile))
     if ends.n < p.min_points:
         mesh = Mesh(mesh.vertices.limit(0), mesh.triangles.limit(0))

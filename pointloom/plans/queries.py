@@ -432,8 +432,8 @@ def refine_mesh(points: DataFrame) -> DataFrame:
 def voxel_solver(points: DataFrame, depth: int, scale: float) -> M.Mesh:
     """A stand-in for an outside solver: the voxel mesh, with the points near a vertex as its density."""
     mesh = M.Mesh(*(cut(t) for t in V.surface_mesh(points, MESH_SIZE * scale, LEVELS)))
-    places = points.select("point_id", *G.XYZ).unionByName(mesh.vertices.select((-F.col("vid") - 1).alias("point_id"), *G.XYZ))
-    near = N.radius_count(places, MESH_SIZE).where("point_id < 0").select((-F.col("point_id") - 1).alias("vid"), F.col("n_near").cast("double").alias("density"))
+    places = points.select(*G.XYZ).unionByName(mesh.vertices.select(*G.XYZ))
+    near = N.radius_count(mesh.vertices, MESH_SIZE, of=places).select("vid", F.col("n_near").cast("double").alias("density"))
     return M.Mesh(_rounded(mesh.vertices.join(near, "vid"), *G.XYZ), mesh.triangles.select("object", "tid", "v0", "v1", "v2"))
 
 
